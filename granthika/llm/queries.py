@@ -2,5 +2,89 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granthika.llm import confusables, leakage, sitelines
+from granthika.session import table
+
+
+# Problem 4: lines repeated across one site's documents
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "webscraper_output").select(
+        "record_no", "doc_id", sitelines.site(F.col("source.organization"), F.col("source.source_url")).alias("org"), F.col("content.raw_text").alias("raw_text")
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.occurrences_of(*sitelines.repeated_lines(_pages(spark, sf_dir)))
+
+
+def p4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed lines of each site with their documents."""
+    confirmed, _ = sitelines.repeated_lines(_pages(spark, sf_dir))
+    return confirmed.select("org", F.col("form").alias("line_form"), "n_docs", "site_docs")
+
+
+def p4_cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without its site's confirmed lines."""
+    pages = _pages(spark, sf_dir)
+    confirmed, _ = sitelines.repeated_lines(pages)
+    return sitelines.without_lines(pages, confirmed).select("record_no", "cleaned_text", "lines_removed")
+
+
+# Problem 5: visually identical text with different characters
+
+
+def _visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "pib_releases").select(F.lit("pib_releases").alias("table_name"), F.col("id").alias("row_no"), F.col("title").alias("text"))
+    bodies = table(spark, sf_dir, "webscraper_output").select(F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"), F.col("content.clean_text").alias("text"))
+    return titles.unionByName(bodies)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.look_alike_pairs(_visible_texts(spark, sf_dir))
+
+
+def p5_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical member of every row that has look-alikes."""
+    return confusables.canonical_members(_visible_texts(spark, sf_dir))
+
+
+# Problem 7: evaluation texts leaking into training text
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = leakage.item_words(table(spark, sf_dir, "eval_items"))
+    return leakage.aligned_words(leakage.build_index(table(spark, sf_dir, "documents"), words), words)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.phrase_matches(_aligned(spark, sf_dir)).select("doc_id", "item_id")
+
+
+def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a phrase's words, with small gaps or insertions."""
+    return leakage.proximity_matches(_aligned(spark, sf_dir))
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents that hold text of it."""
+    found = leakage.phrase_matches(_aligned(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("longest_run").alias("longest_run"))
+    items = table(spark, sf_dir, "eval_items").select("item_id", "eval_set")
+    return items.join(found, "item_id", "left").select("item_id", "eval_set", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_repeated_lines": p4_repeated_lines,
+    "p4_cleaned_pages": p4_cleaned_pages,
+    "p5_found": p5_found,
+    "p5_canonical_texts": p5_canonical_texts,
+    "p7_found": p7_found,
+    "p7_proximity": p7_proximity,
+    "p7_leaked_items": p7_leaked_items,
+}
+ORACLE: dict[str, str] = {}
