@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import confusables, leakage, sitelines
+from granthika.llm import abuse, confusables, leakage, sitelines
 from granthika.session import table
 
 
@@ -77,6 +77,33 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "eval_set", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
+# Problem 8: abusive, hateful or sexual content
+
+
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = abuse.fit_on(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "abuse_terms"))
+    return abuse.score(documents, model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).where(F.col("p_abusive") > abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity (0 to 3)."""
+    return _abuse_scores(spark, sf_dir)
+
+
+def p8_rate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive documents and mean severity of each source."""
+    scored = _abuse_scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return scored.groupBy("source").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.col("p_abusive") > abuse.THRESHOLD).alias("n_abusive"),
+        F.avg((F.col("p_abusive") > abuse.THRESHOLD).cast("int")).alias("abusive_rate"), F.avg("expected_severity").alias("mean_severity"),
+    )
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_repeated_lines": p4_repeated_lines,
@@ -86,5 +113,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_proximity": p7_proximity,
     "p7_leaked_items": p7_leaked_items,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rate_by_source": p8_rate_by_source,
 }
 ORACLE: dict[str, str] = {}
