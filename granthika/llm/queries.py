@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import abuse, confusables, language, leakage, releases, sitelines
-from granthika.session import table
+from granthika.functions.urls import host
+from granthika.llm import abuse, confusables, language, leakage, packing, releases, sitelines, tokens
+from granthika.session import materialise, table
 
 
 # Problem 1: missing or wrong document language labels
@@ -54,6 +55,60 @@ def p1_document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Problem 3: token budget per source and language
+
+
+def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_key, slice and text of the releases (one a release) and of the documents."""
+    filed = releases.latest_releases(table(spark, sf_dir, "pib_releases")).select(
+        F.concat(F.lit("release:"), F.coalesce("release_id", F.col("id").cast("string"))).alias("doc_key"), F.lit("pib_releases").alias("table_name"),
+        F.coalesce(host(F.col("url")), F.lower("source")).alias("source"), tokens.language_slice(F.col("language")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
+    )
+    documents = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_key"), F.lit("documents").alias("table_name"),
+        F.lower("source").alias("source"), tokens.language_slice(F.col("lang")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
+    )
+    return filed.unionByName(documents)
+
+
+def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language, organization and their combinations."""
+    return tokens.totals(tokens.TokenLedger.fresh(spark).update(_budget_documents(spark, sf_dir)))
+
+
+def p3_after_new_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals reached in two steps: the first crawls, then deltas to the latest ones."""
+    ledger = tokens.TokenLedger.fresh(spark)
+    documents = _budget_documents(spark, sf_dir)
+    releases_ = table(spark, sf_dir, "pib_releases")
+    first = releases_.join(releases_.groupBy("release_id").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    before = releases.latest_releases(first).select(
+        F.concat(F.lit("release:"), F.coalesce("release_id", F.col("id").cast("string"))).alias("doc_key"), F.lit("pib_releases").alias("table_name"),
+        F.coalesce(host(F.col("url")), F.lower("source")).alias("source"), tokens.language_slice(F.col("language")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
+    )
+    ledger.update(before)
+    return tokens.totals(ledger.update(documents))
+
+
+# Problem 6: filling fixed-capacity containers
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    items = materialise(tokens.count_tokens(texts, tokens.Tokenizer()), "sizes")
+    return packing.pack(items, table(spark, sf_dir, "pack_targets"))
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document (or piece) for every capacity."""
+    return _packed(spark, sf_dir).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
 # Problem 4: lines repeated across one site's documents
 
 
@@ -150,6 +205,10 @@ def p8_rate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_token_budget": p3_token_budget,
+    "p3_after_new_crawl": p3_after_new_crawl,
+    "p6_packing": p6_packing,
+    "p6_fill_report": p6_fill_report,
     "p1_found": p1_found,
     "p1_segments": p1_segments,
     "p1_document_languages": p1_document_languages,

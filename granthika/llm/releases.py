@@ -17,3 +17,27 @@ def with_sections(rows: DataFrame) -> DataFrame:
 def text_of(sections: Column) -> Column:
     """Contents of all sections, one below the other; null without sections."""
     return F.array_join(F.transform(F.filter(sections, lambda s: s["content"].isNotNull()), lambda s: s["content"]), "\n")
+
+
+def salvaged_sections(content_json: Column) -> Column:
+    """Section contents of JSON that is cut off, as far as they go, as an array of strings."""
+    raw = F.regexp_extract_all(content_json, F.lit(r'"content"\s*+:\s*+"([^"\\]*+(?:\\.[^"\\]*+)*+)'), F.lit(1))
+    return F.transform(raw, lambda x: F.from_json(F.concat(F.lit('{"c":"'), F.regexp_replace(x, r"\\(u[0-9a-fA-F]{0,3})?$", ""), F.lit('"}')), "c string")["c"])
+
+
+def latest_releases(rows: DataFrame) -> DataFrame:
+    """One row a release: of its crawls, one with whole JSON if there is any, then the latest (highest id).
+
+    Adds ``text``: all section contents, salvaged where the JSON is cut off. Rows without release_id stand for themselves.
+    """
+    parsed = with_sections(rows)
+    key = F.coalesce(F.concat(F.lit("r"), "release_id"), F.concat(F.lit("i"), F.col("id").cast("string")))
+    salvage = F.array_join(F.filter(salvaged_sections(F.col("content_json")), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col("sections").isNotNull(), text_of(F.col("sections"))).otherwise(salvage)
+    best = rows.select(key.alias("_key"), "id", with_flag().alias("_whole")).groupBy("_key").agg(F.max(F.struct("_whole", "id"))["id"].alias("id"))
+    return parsed.withColumn("text", F.nullif(text, F.lit(""))).join(best.select("id"), "id", "left_semi")
+
+
+def with_flag() -> Column:
+    """True if content_json is whole: it ends its object."""
+    return F.coalesce(F.col("content_json").rlike(r"\}\s*$"), F.lit(False))
