@@ -224,4 +224,41 @@ QUERIES = {
     "p8_scores": p8_scores,
     "p8_rate_by_source": p8_rate_by_source,
 }
-ORACLE: dict[str, str] = {}
+# SQL on the same tables, where SQL can say it. The models, tokenizers and packings are tested on small fixtures instead.
+
+_SITE = r"""regexp_replace(lower(coalesce(w.source.organization, regexp_extract(lower(w.source.source_url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1))), '^www\.', '')"""
+_LINES = rf"""(SELECT org, doc_id, record_no, lower(regexp_replace(regexp_replace(line, '[\t\x0B\f\r\x1C-\x1F\x{{85}}\p{{Z}}]+', '', 'g'), '\p{{Nd}}+', '0', 'g')) AS form, line_no
+    FROM (SELECT {_SITE} AS org, doc_id, record_no, unnest(string_split(w.content.raw_text, chr(10))) AS line, generate_subscripts(string_split(w.content.raw_text, chr(10)), 1) - 1 AS line_no FROM webscraper_output w))"""
+_SITES = f"(SELECT {_SITE} AS org, count(DISTINCT doc_id) AS site_docs FROM webscraper_output w GROUP BY 1)"
+_CONFIRMED = f"(SELECT org, form, n_docs, site_docs FROM (SELECT org, form, count(DISTINCT doc_id) AS n_docs FROM {_LINES} WHERE form <> '' AND org IS NOT NULL GROUP BY org, form) JOIN {_SITES} USING (org) WHERE n_docs >= 5 AND 5 * n_docs >= site_docs)"
+
+
+def _sql_text(chars: str) -> str:
+    return "'" + chars.replace("'", "''") + "'"
+
+
+def _look_sql(x: str) -> str:
+    out = f"translate({x}, {_sql_text(confusables._FROM)}, {_sql_text(confusables._TO)})"
+    for joined, plain in confusables.JOINED:
+        out = f"replace({out}, '{joined}', '{plain}')"
+    return f"nfc_normalize({out})"
+
+
+_SEEN = f"""(SELECT *, {_look_sql('text')} AS face FROM (SELECT 'pib_releases' AS table_name, id AS row_no, title AS text FROM pib_releases UNION ALL SELECT 'webscraper_output', record_no, w.content.clean_text FROM webscraper_output w) WHERE text IS NOT NULL)"""
+_CLEAN = r"regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g')"
+
+
+def _grams(source: str, key: str, text: str) -> str:
+    """Every twelve words in a row of each text, as one string."""
+    words = rf"(SELECT {key}, list_filter(list_transform(string_split_regex({text}, '[\s\p{{Z}}\x{{85}}\x1C-\x1F]+'), lambda w: {_CLEAN}), lambda w: w <> '') AS ws FROM {source} WHERE {text} IS NOT NULL)"
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i : i + 11], ' '))) AS gram FROM {words})"
+
+
+_LEAKS = f"(SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id', 'text')} JOIN {_grams('eval_items', 'item_id', 'item_text')} USING (gram))"
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"SELECT record_no, line_no FROM {_LINES} JOIN {_CONFIRMED} USING (org, form)",
+    "p4_repeated_lines": f"SELECT org, form AS line_form, n_docs, site_docs FROM {_CONFIRMED}",
+    "p5_found": f"SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM {_SEEN} a JOIN {_SEEN} b ON a.table_name = b.table_name AND a.face = b.face AND a.row_no < b.row_no AND a.text <> b.text",
+    "p7_found": f"SELECT doc_id, item_id FROM {_LEAKS}",
+}
