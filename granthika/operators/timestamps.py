@@ -53,7 +53,7 @@ _FORMS = [
     re.compile(p, re.IGNORECASE)
     for p in (
         rf"(?P<y>\d{{4}})([-/.])(?P<m>\d{{1,2}})\2(?P<d>\d{{1,2}}){_TAIL}",
-        rf"(?P<a>\d{{1,2}})([-/.])(?P<b>\d{{1,2}})\2(?P<y>\d{{4}}|\d{{2}}){_TAIL}",
+        rf"(?P<a>\d{{1,2}})(?P<sep>[-/.])(?P<b>\d{{1,2}})(?P=sep)(?P<y>\d{{4}}|\d{{2}}){_TAIL}",
         rf"(?P<d>\d{{1,2}})(?:st|nd|rd|th)?[\s-]+(?P<mon>{_NAME})\.?,?[\s-]+(?P<y>\d{{4}}|\d{{2}}){_TAIL}",
         rf"(?P<mon>{_NAME})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}}){_TAIL}",
         rf"(?P<mon>{_NAME})\.?\s+(?P<d>\d{{1,2}})\s+{_TIME}\s*{_ZONE}\s+(?P<y>\d{{4}})",
@@ -110,7 +110,8 @@ def _resolve(g: dict, zone: str, date_order: str) -> int | None:
     if g.get("mon"):
         month, day = _MONTH_NO[g["mon"].lower()], int(g["d"])
     elif g.get("a"):
-        day, month = (int(g["a"]), int(g["b"])) if date_order != "mdy" else (int(g["b"]), int(g["a"]))
+        # Dots stand only in day-first notations, whatever order a site uses with slashes.
+        day, month = (int(g["b"]), int(g["a"])) if date_order == "mdy" and g["sep"] != "." else (int(g["a"]), int(g["b"]))
     else:
         month, day = int(g["m"]), int(g["d"])
     hour, half = int(g["h"] or 0), (g.get("ap") or "").lower()[:1]
