@@ -46,7 +46,7 @@ def validated_answers(raw: DataFrame, evidence: DataFrame, claim: str, output: s
     any_evidence = evidence.select(claim).distinct().withColumn("_has", F.lit(True))
     joined = rows.join(known, claim, "left").join(any_evidence, claim, "left")
     bad = F.col("a._broken").isNotNull() | F.col("a.answer").isNull() | F.col("a.verdict").isNull() | F.col("a.confidence").isNull()
-    none = F.col("_has").isNull() | ((F.size("a.citations") > 0) & F.col("resolved").isNull())
+    none = F.col("_has").isNull() | (F.coalesce(F.size("a.citations") > 0, F.lit(False)) & F.col("resolved").isNull())
     empty = F.expr("cast(array() as array<int>)")
     return joined.select(
         claim, F.when(none, F.lit(NO_EVIDENCE)).otherwise(F.when(~bad, F.col("a.answer"))).alias("answer"), F.when(none | bad, empty).otherwise(F.coalesce("resolved", empty)).alias("citations"),

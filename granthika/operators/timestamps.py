@@ -6,7 +6,7 @@ kept in a Parquet table that later runs extend, and joined back to the rows.
 
 Defined results: null, blank, relative, incomplete and non-existing dates, and zoneless local times that a clock change
 skips or repeats, have a null instant. Repeated rows each get their instant. Columns of the input other than the three
-keys pass through, whatever their names.
+keys pass through; ``instant`` and ``instant_utc`` are replaced if the input has them.
 """
 
 from __future__ import annotations
@@ -166,17 +166,18 @@ class InstantDictionary:
 
 def normalise(values: DataFrame, dictionary: InstantDictionary) -> DataFrame:
     """``values`` (with raw, zone, date_order) plus ``instant`` (timestamp) and ``instant_utc`` (text), null if undecidable."""
-    parsed = dictionary.extend(values).where("micros is not null")
-    joined = values.join(parsed, ["raw", "zone", "date_order"], "left")
-    instant = F.timestamp_micros("micros")
-    return joined.withColumns({"instant": instant, "instant_utc": utc_text(instant)}).drop("micros")
+    return _joined(values, dictionary, "left")
 
 
 def resolve_only(values: DataFrame, dictionary: InstantDictionary) -> DataFrame:
     """As ``normalise``, without the rows that are undecidable; those never enter the join."""
-    parsed = dictionary.extend(values).where("micros is not null")
-    instant = F.timestamp_micros("micros")
-    return values.join(parsed, ["raw", "zone", "date_order"]).withColumns({"instant": instant, "instant_utc": utc_text(instant)}).drop("micros")
+    return _joined(values, dictionary, "inner")
+
+
+def _joined(values: DataFrame, dictionary: InstantDictionary, how: str) -> DataFrame:
+    parsed = dictionary.extend(values).where("micros is not null").withColumnRenamed("micros", "_granthika_micros")
+    instant = F.timestamp_micros("_granthika_micros")
+    return values.join(parsed, ["raw", "zone", "date_order"], how).withColumns({"instant": instant, "instant_utc": utc_text(instant)}).drop("_granthika_micros")
 
 
 def utc_text(instant: Column) -> Column:

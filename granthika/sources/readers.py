@@ -35,7 +35,7 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text, character_count of whole files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    read = files.where(kind.isin(*TEXT_SUFFIXES)).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    read = files.where(kind.isin(*TEXT_SUFFIXES)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return read.withColumn("character_count", F.length("text"))
 
 
