@@ -89,5 +89,5 @@ def canonical_members(rows: DataFrame) -> DataFrame:
     """
     m = look_alike_members(rows)
     best = m.groupBy("table_name", "class_id", "exact").agg(F.min(F.struct(F.octet_length("text").alias("bytes"), "text", "row_no")).alias("best"), F.countDistinct("form_id").alias("n_forms"))
-    chosen = best.select("table_name", "class_id", "exact", "n_forms", F.col("best.row_no").alias("canonical_row"), F.col("best.text").alias("canonical_text"))
+    chosen = best.where("n_forms > 1").select("table_name", "class_id", "exact", "n_forms", F.col("best.row_no").alias("canonical_row"), F.col("best.text").alias("canonical_text"))
     return m.join(chosen, ["table_name", "class_id", "exact"]).select("table_name", "row_no", "class_id", "canonical_row", "canonical_text", "n_forms")

@@ -126,7 +126,7 @@ def aligned_words(index: DataFrame, words: DataFrame, phrase: int = PHRASE) -> D
 def phrase_matches(aligned: DataFrame, phrase: int = PHRASE) -> DataFrame:
     """doc_id, item_id and the longest run of consecutive item words, of at least ``phrase``."""
     along = Window.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
-    runs = aligned.withColumn("run", F.col("ipos") - F.row_number().over(along)).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n_words"))
+    runs = aligned.withColumn("run", F.col("ipos") - F.dense_rank().over(along)).groupBy("doc_id", "item_id", "shift", "run").agg((F.max("ipos") - F.min("ipos") + 1).alias("n_words"))
     return runs.where(F.col("n_words") >= phrase).groupBy("doc_id", "item_id").agg(F.max("n_words").cast("long").alias("longest_run"))
 
 

@@ -114,9 +114,10 @@ def occurrences_of(confirmed: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def without_lines(pages: DataFrame, confirmed: DataFrame) -> DataFrame:
     """``pages`` with ``cleaned_text`` and ``lines_removed``; a site's confirmed lines are few (at most MIN_SHARE times its mean lines a page)."""
-    sets = confirmed.groupBy("org").agg(F.collect_set("form").alias("confirmed_forms"))
+    sets = confirmed.groupBy("org").agg(F.collect_set("form").alias("_granthika_set"))
     joined = pages.join(broadcast_within(sets, MAX_BROADCAST_LINES // 50), "org", "left")
-    split = joined.withColumns({"_lines": F.split("raw_text", "\n", -1), "_forms": line_forms(F.col("raw_text"))})
-    keep = F.filter("_lines", lambda _, i: ~F.array_contains(F.col("confirmed_forms"), F.get(F.col("_forms"), i)))
-    kept = split.withColumn("_kept", F.when(F.col("confirmed_forms").isNull(), F.col("_lines")).otherwise(keep))
-    return kept.withColumns({"cleaned_text": F.array_join("_kept", "\n"), "lines_removed": F.size("_lines") - F.size("_kept")}).drop("_lines", "_forms", "_kept", "confirmed_forms")
+    split = joined.withColumns({"_granthika_lines": F.split("raw_text", "\n", -1), "_granthika_forms": line_forms(F.col("raw_text"))})
+    keep = F.filter("_granthika_lines", lambda _, i: ~F.array_contains(F.col("_granthika_set"), F.get(F.col("_granthika_forms"), i)))
+    kept = split.withColumn("_granthika_kept", F.when(F.col("_granthika_set").isNull(), F.col("_granthika_lines")).otherwise(keep))
+    out = kept.withColumns({"cleaned_text": F.array_join("_granthika_kept", "\n"), "lines_removed": F.size("_granthika_lines") - F.size("_granthika_kept")})
+    return out.drop("_granthika_lines", "_granthika_forms", "_granthika_kept", "_granthika_set")
