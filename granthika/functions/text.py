@@ -95,8 +95,8 @@ def script_language(text: Column) -> Column:
 def is_heading(text: Column) -> Column:
     """A known section name, a numbered line of up to 100 characters, or a line of up to 100 characters that ends in a colon."""
     t = clean_block(text)
-    known = F.lower(t).rlike(rf"^(?:{'|'.join(HEADINGS)})$") | F.lower(t).rlike(r"^about .*")
-    return F.coalesce(known | t.rlike(r"^(?:\d+[.)]|[IVXLCDM]+[.)])\s+.{2,100}$") | ((F.length(t) <= 100) & t.endswith(":")), F.lit(False))
+    shape = rf"^(?i:{'|'.join(HEADINGS)})$|^(?i:about ).*|^(?:\d+[.)]|[IVXLCDM]+[.)])\s+.{{2,100}}$|^[\s\S]{{0,99}}:$"
+    return F.coalesce(t.rlike(shape), F.lit(False))
 
 
 def heading_name(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthika.functions.text import SPACE, word_count
+from granthika.session import computed_once
 
 _UNITS = "array<struct<start:int,end:int,n:int>>"
 
@@ -39,11 +40,16 @@ def _unit(start: Column, end: Column, n: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), n.cast("int").alias("n"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _trimmed(piece: Column, start: Column) -> Column:
     """Span of a piece without white space around it; null if nothing is left."""
     lead = F.length(piece) - F.length(F.regexp_replace(piece, rf"^{SPACE}+", ""))
-    body = F.length(F.regexp_replace(piece, rf"^{SPACE}+|{SPACE}+$", ""))
-    return F.when(body > 0, _unit(start + lead, start + lead + body, _tokens(piece)))
+    both = F.struct(lead.alias("lead"), F.length(F.regexp_replace(piece, rf"^{SPACE}+|{SPACE}+$", "")).alias("body"))
+    return _let(both, lambda x: F.when(x["body"] > 0, _unit(start + x["lead"], start + x["lead"] + x["body"], _tokens(piece))))
 
 
 def _spans(pieces: Column, base: Column) -> Column:
@@ -70,8 +76,7 @@ def sentence_spans(text: Column, base: Column | None = None) -> Column:
 def token_spans(text: Column, size: int, base: Column | None = None) -> Column:
     """Spans of groups of ``size`` tokens."""
     pieces = F.split(text, rf"(?<=[^\s\p{{Z}}\x{{85}}\x1C-\x1F])(?={SPACE})", -1)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(size))
-    groups = F.transform(starts, lambda i: F.array_join(F.slice(pieces, i + 1, size), ""))
+    groups = _let(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(p, i + 1, size), "")))
     return _spans(groups, F.lit(0) if base is None else base)
 
 
@@ -118,15 +123,15 @@ def overlap(content: Column, chunks: Column, config: ChunkingConfig) -> Column:
 
     def start_of_last(prev: Column, take: Column) -> Column:
         pieces = F.split(F.regexp_replace(_text(content, prev), rf"^{SPACE}+", ""), rf"(?<=[^\s\p{{Z}}\x{{85}}\x1C-\x1F])(?={SPACE})", -1)
-        tail = F.array_join(F.slice(pieces, F.size(pieces) - take + 1, take), "")
+        tail = _let(pieces, lambda p: F.array_join(F.slice(p, F.size(p) - take + 1, take), ""))
         return prev["end"] - F.length(F.regexp_replace(tail, rf"^{SPACE}+", ""))
 
     def step(acc: Column, c: Column) -> Column:
         prev = F.element_at(acc, -1)
         take = F.greatest(F.lit(0), F.least(F.lit(config.overlap_tokens), prev["n"], F.lit(config.max_tokens) - c["n"]))
         wider = F.when(take > 0, _unit(start_of_last(prev, take), c["end"], c["n"] + take)).otherwise(c)
-        same = (wider["start"] == prev["start"]) & (wider["end"] == prev["end"])
-        return F.when(F.size(acc) == 0, F.array(c)).otherwise(F.array_append(acc, F.when(same, c).otherwise(wider)))
+        chosen = _let(wider, lambda w: F.when((w["start"] == prev["start"]) & (w["end"] == prev["end"]), c).otherwise(w))
+        return F.when(F.size(acc) == 0, F.array(c)).otherwise(F.array_append(acc, chosen))
 
     return F.aggregate(chunks, F.expr(f"cast(array() as {_UNITS})"), step)
 
@@ -166,12 +171,13 @@ def chunk(documents: DataFrame, config: ChunkingConfig | None = None, content: s
 
     flat = F.transform(cut(whole), lambda c: F.struct(c.alias("c"), none.alias("s")))
     if has_sections:
-        mapped = section_spans(text, F.col("sections"))
+        mapped = F.col("_spans")
+        documents = documents.withColumn("_spans", section_spans(text, F.col("sections")))
         each = F.transform(F.arrays_zip(mapped.alias("span"), F.col("sections").alias("sec")), lambda z: F.transform(cut(z["span"]), lambda c: F.struct(c.alias("c"), F.struct(z["sec"]["section_id"].alias("section_id"), z["sec"]["heading"].alias("heading")).cast(section).alias("s"))))
         flat = F.when(mapped.isNotNull(), F.flatten(each)).otherwise(flat)
     small = F.array(F.struct(whole.alias("c"), none.alias("s")))
-    rows = documents.where(text.isNotNull()).withColumn("_chunks", F.when(_tokens(text) <= config.max_tokens, small).otherwise(flat))
-    kept = [c for c in documents.columns if c not in (content, "sections")]
+    rows = computed_once(documents.where(text.isNotNull())).withColumn("_chunks", F.when(_tokens(text) <= config.max_tokens, small).otherwise(flat))
+    kept = [c for c in documents.columns if c not in (content, "sections", "_spans", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")]
     each = rows.select(*kept, F.col(content).alias("_text"), F.posexplode("_chunks").alias("chunk_index", "_k"))
     return each.select(
         *kept, F.concat(F.col(document_id).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index",

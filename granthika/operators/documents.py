@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granthika.functions.text import blank_to_null, is_blank
 from granthika.functions.urls import is_http_url
 from granthika.schemas import CONTENT_JSON, LANGUAGE_TAG, SOURCE_TYPES
+from granthika.session import computed_once
 
 SECTION_SEPARATOR = "\n\n"
 
@@ -68,7 +69,8 @@ def errors_of(checks: dict[str, Column]) -> Column:
 def release_documents(releases: DataFrame) -> DataFrame:
     """Documents of release rows with metadata_json and content_json."""
     content, meta = parse_object(F.col("content_json"), CONTENT_JSON), json_map(F.col("metadata_json"))
-    rows = releases.withColumns({"_c": content, "_m": meta})
+    used = [c for c in ("id", "document_id", "url", "title", "published_at", "language", "organization") if c in releases.columns]
+    rows = computed_once(releases.select(*used, content.alias("_c"), meta.alias("_m")))
     own = F.from_json(F.col("_c.metadata"), "map<string,string>")
     m = lambda k: F.try_element_at(F.col("_m"), F.lit(k))
     sections = F.col("_c.sections")

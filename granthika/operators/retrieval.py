@@ -86,6 +86,7 @@ def token_weights(rows: DataFrame, key: str, text: str, vocabulary: DataFrame |
     words = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.split(F.lower(text), r"[\s\p{Z}]+")).alias("token")).where("token <> ''")
     if vocabulary is not None:
         words = words.join(broadcast_within(vocabulary.select("token").distinct(), MAX_BROADCAST_TOKENS), "token", "left_semi")
+    # Counts are combined in the task before the shuffle, where all words of a text still are together.
     return words.groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -158,20 +159,24 @@ def relevance(corpus: DataFrame, queries: DataFrame, text: str = "text", item: s
     single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
     pairs = weighted.where(F.size("kw") > 1).select(query, F.explode(F.expr("transform(sequence(1, size(kw) - 1), i -> concat(kw[i-1].keyword, ' ', kw[i].keyword))")).alias("phrase")).withColumn("weight", F.lit(3))
     phrases = single.unionByName(pairs).withColumn("word", F.regexp_extract("phrase", "[a-z0-9_]+", 0)).where("word <> ''")
+    # Texts are tested once for each different phrase, whatever number of queries has it.
+    tested = broadcast_within(phrases.select("word", "phrase").distinct().groupBy("word").agg(F.collect_set("phrase").alias("phrases")), MAX_BROADCAST_TOKENS)
     plain = corpus.where(F.col(text).isNotNull()).select(item, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_text"))
     words = plain.select(item, "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
-    hits = words.join(broadcast_within(phrases, MAX_BROADCAST_TOKENS), "word").where(F.col("_text").contains(F.col("phrase")) & F.call_function("rlike", F.col("_text"), _bounded(F.col("phrase"))))
+    held = words.join(tested, "word").select(item, F.explode(F.filter("phrases", lambda p: F.col("_text").contains(p) & F.call_function("rlike", F.col("_text"), _bounded(p)))).alias("phrase"))
+    hits = held.join(broadcast_within(phrases.select(query, "phrase", "weight"), MAX_BROADCAST_TOKENS), "phrase")
     return hits.groupBy(query, item).agg(F.sum("weight").cast("long").alias("score")).where(F.col("score") >= least)
 
 
 def web_evidence(candidates: DataFrame, domains: list[str], k: int = 5) -> DataFrame:
-    """Best ``k`` web documents of each claim out of candidates (query_id, url, keyword_pos, result_pos, score, content).
+    """Best ``k`` web documents of each claim out of candidates (query_id, url, keyword_pos, result_pos, score, has_content).
 
-    Only whitelisted hosts; of repeated URLs the first with content counts; empty content falls away.
+    Only whitelisted hosts; of repeated URLs the first with content counts; empty content falls away. Contents are joined
+    to the few rows that are left.
     """
     from granthika.operators.dedup import first_by
 
-    good = candidates.where(on_whitelist(F.col("url"), domains) & F.coalesce(F.col("content") != "", F.lit(False)))
+    good = candidates.where(on_whitelist(F.col("url"), domains) & F.coalesce("has_content", F.lit(False)))
     once = first_by(good, ["query_id", "url"], ["keyword_pos", "result_pos"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "keyword_pos", "result_pos")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from granthika.functions import ids, text, urls
 from granthika.operators import analytics, chunking, html, sections
-from granthika.operators.dedup import first_texts
+from granthika.operators.dedup import first_texts, last_by
 from granthika.operators.documents import SECTION_SEPARATOR, parse_object
 from granthika.plans import sqltext as q
 from granthika.schemas import CONTENT_JSON
-from granthika.session import table
+from granthika.session import computed_once, materialise, table
 
 POINT_NAMESPACE = __import__("uuid").uuid5(__import__("uuid").NAMESPACE_DNS, "granthika")
 WHITELIST = ["pib.example", "example", "oshudratimes.example"]
@@ -160,24 +160,26 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def release_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = table(spark, sf_dir, "pib_releases").select(F.col("id").alias("document_id"), F.filter(parse_object(F.col("content_json"), CONTENT_JSON)["sections"], lambda s: ~text.is_blank(s["content"])).alias("sections")).where(F.size("sections") > 0)
-    d = parsed.withColumn("content", F.array_join(F.transform("sections", lambda s: s["content"]), SECTION_SEPARATOR))
-    return chunking.chunk(d, chunking.ChunkingConfig(120, 160, 20)).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")
+    d = computed_once(parsed).withColumn("content", F.array_join(F.transform("sections", lambda s: s["content"]), SECTION_SEPARATOR))
+    return chunking.chunk(computed_once(d), chunking.ChunkingConfig(120, 160, 20)).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written out of the releases' sections, with chrome around the article."""
-    s = parse_object(F.col("content_json"), CONTENT_JSON)["sections"]
+    s = F.col("s")
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.transform(s, lambda x: F.concat(F.coalesce(F.concat(F.lit("<h2>"), esc(x["heading"]), F.lit("</h2>")), F.lit("")), F.lit("<p>"), F.replace(esc(x["content"]), F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>")))
     page = F.concat(F.lit("<html><body><nav><a href='/'>Home</a></nav><div class='content'><p>Posted On: "), F.coalesce("published_at", F.lit("-")), F.lit(" by PIB</p><p>Release ID: "), F.col("release_id"), F.lit("</p>"), F.array_join(body, ""), F.lit("</div><footer>All rights reserved</footer></body></html>"))
-    return table(spark, sf_dir, "pib_releases").where(s.isNotNull() & F.col("release_id").isNotNull()).select("id", "document_id", page.alias("html"))
+    parsed = table(spark, sf_dir, "pib_releases").select("id", "document_id", "release_id", "published_at", parse_object(F.col("content_json"), CONTENT_JSON)["sections"].alias("s"))
+    rows = computed_once(parsed.where("s is not null and document_id is not null")).select("id", "document_id", page.alias("html"))
+    return last_by(rows, ["document_id"], ["id"])
 
 
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    blocks = html.parse_blocks(pages, "id").join(pages.select("id", "document_id"), "id")
-    found = blocks.select("id", sections.has_tables(F.col("blocks")).alias("has_tables"), F.posexplode(sections.infer_sections(F.col("blocks"), F.col("document_id"))).alias("section_no", "s"))
-    return found.select("id", "section_no", "has_tables", "s.section_id", "s.heading", F.md5(F.encode("s.content", "UTF-8")).alias("content_md5"))
+    blocks = materialise(html.parse_blocks(pages.select("document_id", "html"), "document_id"), "blocks")
+    found = sections.infer_sections(blocks, "document_id").join(sections.has_tables(blocks, "document_id"), "document_id")
+    return found.select("document_id", "section_no", "has_tables", "section_id", "heading", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
 QUERIES = {f.__name__: f for f in (

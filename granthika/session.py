@@ -62,3 +62,11 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     Beyond the bound the side is returned as it is, and Spark joins it by shuffle.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df``, whose column expressions the optimizer can't copy into each place that uses them.
+
+    For parsed JSON and joined texts that long expressions refer to many times: a generator stands between the projections.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -88,9 +88,11 @@ def test_html_to_sections(spark):
     page = """<html><body><nav><p>Menu</p></nav><div class="ad-share"><p>Share</p></div><article><p>Release ID: 12</p><h1>Title</h1><p>First <b>bold</b><p>Second
     <h2>Background</h2><ul><li>x</li><li>y<ul><li>deep</li></ul></li></ul><ol><li>p</li><li></li><li>q</li></ol><p>first   BOLD</p><p>Details:</p><table><tr><td>a</td><th>b</th></tr></table><h2>Empty</h2></article></body></html>"""
     df = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
-    out = html.parse_blocks(df, "id").withColumn("s", sections.infer_sections(F.col("blocks"), F.lit("D"))).withColumn("t", sections.has_tables(F.col("blocks"))).orderBy("id").collect()
-    assert [tuple(s) for s in out[0].s] == [("D-S01", "Title", "First bold\n\nSecond"), ("D-S02", "Background", "• x\n• y\n\n1. p\n3. q"), ("D-S03", "Details", "a | b")]
-    assert out[0].t and out[1].s == [] and not out[1].t
+    blocks = html.parse_blocks(df, "id")
+    out = sections.infer_sections(blocks, "id", F.lit("D")).orderBy("id", "section_no").collect()
+    assert [tuple(s)[2:] for s in out] == [("D-S01", "Title", "First bold\n\nSecond"), ("D-S02", "Background", "• x\n• y\n\n1. p\n3. q"), ("D-S03", "Details", "a | b")]
+    assert [tuple(r) for r in sections.has_tables(blocks, "id").collect()] == [(1, True)] and html.titles(blocks, "id").first().title == "Title"
+    assert sections.infer_sections(html.parse_blocks(df.limit(0), "id"), "id").count() == 0
     links = html.anchors(spark.createDataFrame([(1, '<a href="/x?PRID=5">t<b>u</b></a><a onclick="go(6)">v</a>')], "id long, html string"), "id").orderBy("pos").collect()
     assert [(r.href, r.onclick, r.text) for r in links] == [("/x?PRID=5", None, "tu"), (None, "go(6)", "v")]
 
