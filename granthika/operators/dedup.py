@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order_struct(rows: DataFrame, order: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-
-
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``, which must tell rows apart.
 
@@ -40,3 +36,15 @@ def first_texts(rows: DataFrame, scope: list[str], key: Column, order: list[str]
     """``rows`` without those whose ``key`` already came earlier in the same scope; rows with a null key stay."""
     keyed = rows.withColumn("_key", key)
     return first_by(keyed.where(F.col("_key").isNotNull()), [*scope, "_key"], order).unionByName(keyed.where(F.col("_key").isNull())).drop("_key")
+
+
+def best_pass(rows: DataFrame, keys: list[str], order: str, confidence: str, length: str, enough: float = 85, least: int = 20) -> DataFrame:
+    """The best of several passes over each key, as if they were tried in ``order`` until one is good enough.
+
+    Passes after the first with ``confidence`` >= enough and ``length`` >= least don't count, nor do those of length 0. The
+    score is the confidence (null: 0) and up to 10 for the length; ties go to the earlier pass.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    good = (F.col(confidence) >= enough) & (F.col(length) >= least)
+    tried = rows.withColumn("_stop", F.coalesce(F.max(F.coalesce(good, F.lit(False)).cast("int")).over(w), F.lit(0))).where((F.col("_stop") == 0) & (F.col(length) > 0)).drop("_stop")
+    return first_by_max(tried, keys, F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)) + F.least(F.col(length), F.lit(500)) / 50, order)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granthika.functions.text import blank_to_null, is_blank
+from granthika.functions.dates import iso_utc, social_instant
+from granthika.functions.text import blank_to_null, clean_social, content_hash, entity_names, is_blank, links_of
 from granthika.functions.urls import is_http_url
 from granthika.schemas import CONTENT_JSON, LANGUAGE_TAG, SOURCE_TYPES
 from granthika.session import computed_once
@@ -104,6 +105,19 @@ def live_documents(records: DataFrame, aliases: dict[str, str] | None = None) ->
     return out.withColumn("errors", errors_of(document_checks()))
 
 
+def social_records(posts: DataFrame) -> DataFrame:
+    """Nested records of raw posts: id, text, url, lang, created_at, author_handle, author_name, hashtags, mentions (arrays of names) and urls."""
+    clean = clean_social(F.col("text"))
+    staged = computed_once(posts.withColumn("_clean", clean))
+    return staged.select(
+        F.concat(F.lit("X_"), F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("X post by @"), "author_handle").alias("title"),
+        F.struct(F.lit("X").alias("platform"), F.lit("social_media_post").alias("source_type"), F.col("url").alias("source_url"), F.col("author_name").alias("organization"), "author_handle", "author_name").alias("source"),
+        F.struct(iso_utc(social_instant(F.col("created_at"))).alias("published_at")).alias("dates"), F.struct(F.col("text").alias("raw_text"), F.col("_clean").alias("clean_text")).alias("content"),
+        F.struct(entity_names(F.col("hashtags")).alias("hashtags"), entity_names(F.col("mentions")).alias("mentions"), links_of(F.col("urls"), F.col("text")).alias("urls")).alias("entities"),
+        F.struct(F.col("lang").alias("language"), content_hash(F.col("_clean")).alias("content_hash"), F.lit("social_media_post").alias("document_type")).alias("metadata"),
+    )
+
+
 def document_checks() -> dict[str, Column]:
     return {
         "document_id": is_blank(F.col("document_id")), "source_type": ~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)), "content": is_blank(F.col("content")),

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from granthika.functions import dates
 from granthika.functions.text import blank_to_null
-from granthika.operators import analytics, chunking, dedup, store
+from granthika.functions.urls import release_number
+from granthika.operators import analytics, chunking, dedup, html, store
 from granthika.operators import documents as adapters
 from granthika.plans import sqltext as q
 from granthika.plans.corpus_queries import _documents
-from granthika.session import materialise, scratch_path, table
+from granthika.session import scratch_path, table
 from granthika.sources.readers import last_records
 from granthika.streaming import ingest
 
@@ -50,6 +51,33 @@ def live_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("record_no", "document_id", "source_type", "url", "publisher", "author", "language", "retrieved_at", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), F.array_join("errors", ",").alias("errors"))
 
 
+def social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of the social platform, taken apart and put together again."""
+    w = _web(spark, sf_dir).where("source.platform = 'X'")
+    posts = w.select(
+        F.regexp_replace("doc_id", "^X_", "").alias("id"), F.col("content.raw_text").alias("text"), F.col("source.source_url").alias("url"), F.col("metadata.language").alias("lang"), F.trim("dates.published_at").alias("created_at"),
+        F.col("source.author_handle").alias("author_handle"), F.col("source.author_name").alias("author_name"), F.transform("entities.hashtags", lambda x: F.concat(F.lit("#"), x)).alias("hashtags"), F.col("entities.mentions").alias("mentions"), F.col("entities.urls").alias("urls"),
+    )
+    r = adapters.social_records(posts)
+    return r.select("doc_id", "title", F.col("dates.published_at").alias("published_at"), F.array_join("entities.hashtags", " ").alias("hashtags"), F.size("entities.urls").cast("long").alias("n_urls"), F.col("metadata.content_hash").alias("content_hash"))
+
+
+def release_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release numbers out of the links of index pages (50 rows a page); of each number the last link counts."""
+    r = _releases(spark, sf_dir).where("url is not null").select("id", "url", F.coalesce("title", F.lit("")).alias("title"))
+    link = F.concat(F.lit("<a href='"), F.col("url"), F.lit("'>"), F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a>"))
+    pages = r.select(F.floor(F.col("id") / 50).alias("page"), F.struct("id", link.alias("a")).alias("x")).groupBy("page").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    found = html.anchors(pages.select("page", F.array_join(F.transform("xs", lambda x: x["a"]), "\n").alias("html")), "page")
+    named = found.withColumn("release_number", release_number(F.coalesce("href", "onclick"))).where("release_number is not null")
+    return dedup.last_by(named.select("release_number", "page", "pos", F.col("text").alias("title")), ["release_number"], ["page", "pos"]).select("release_number", "title")
+
+
+def best_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several fetches of a page the one with the most text, the first that is long enough ending the search."""
+    w = _web(spark, sf_dir).where("doc_id is not null").select("doc_id", "record_no", F.lit(0.0).alias("confidence"), F.coalesce(F.length("content.clean_text"), F.lit(0)).alias("n_chars"))
+    return dedup.best_pass(w, ["doc_id"], "record_no", "confidence", "n_chars", enough=0, least=400).select("doc_id", "record_no", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 def missing_metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lacking = adapters.missing_keys(F.col("metadata_json"), META_KEYS)
     return _releases(spark, sf_dir).select("id", F.array_join(lacking, ",").alias("missing"))
@@ -154,7 +182,7 @@ def streamed_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    release_documents, release_errors, valid_releases, live_documents, missing_metadata_keys, merged_metadata, release_dates, social_dates, release_insert_or_ignore, new_releases_only,
+    release_documents, release_errors, valid_releases, live_documents, social_records, release_links, best_fetches, missing_metadata_keys, merged_metadata, release_dates, social_dates, release_insert_or_ignore, new_releases_only,
     published_at_repair, last_fetch_wins, first_url_wins, crawl_state_latest, missing_days, resume_day, crawl_outcomes, annotator_means, last_web_records, event_windows, chunk_upsert, streamed_releases,
 )}
 
@@ -188,6 +216,11 @@ ORACLE = {
         CASE WHEN NOT coalesce(regexp_matches(url, '(?i)^https?://'), false) THEN 'url' END, CASE WHEN {_BLANK('retrieved_at')} THEN 'retrieved_at' END, CASE WHEN NOT coalesce(regexp_matches(language, {_TAG}), false) THEN 'language' END) AS errors
         FROM (SELECT record_no, doc_id, CASE WHEN w.source.source_type = 'social_media' THEN 'social_media_post' ELSE w.source.source_type END AS t, w.source.source_url AS url, w.source.organization AS publisher, w.source.author_name AS author,
         w.metadata.language AS language, w.dates.retrieved_at AS retrieved_at, w.content.clean_text AS content FROM webscraper_output w)""",
+    "release_links": r"""SELECT regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) AS release_number, coalesce(title, '') AS title FROM pib_releases WHERE regexp_matches(url, '(?i)PRID\s*=\s*\d+')
+        QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) ORDER BY id DESC) = 1""",
+    "best_fetches": """WITH w AS (SELECT doc_id, record_no, coalesce(length(x.content.clean_text), 0) AS n_chars FROM webscraper_output x WHERE doc_id IS NOT NULL),
+        t AS (SELECT *, coalesce(max((n_chars >= 400)::INTEGER) OVER (PARTITION BY doc_id ORDER BY record_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM w)
+        SELECT doc_id, record_no, n_chars FROM t WHERE stopped = 0 AND n_chars > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY least(n_chars, 500) DESC, record_no) = 1""",
     "missing_metadata_keys": f"SELECT id, array_to_string(list_sort(list_filter({META_KEYS}, lambda k: NOT list_contains(CASE WHEN json_valid(metadata_json) THEN json_keys(metadata_json) ELSE [] END, k))), ',') AS missing FROM pib_releases",
     "release_dates": rf"""WITH v AS (SELECT id, regexp_replace({q.one_spaced(rf"coalesce(nullif({q.one_spaced(r"regexp_extract(published_at, '(?i)Posted\s+On\s*:\s*(.*?)\s+by\s+PIB(?:\s|$)', 1)")}, ''), published_at)")}, '(?i)(\d)(AM|PM)\b', '\1 \2', 'g') AS v FROM pib_releases),
         p AS (SELECT id, CASE WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]?[\d:.]*(Z|[+-]\d{{2}}:?\d{{2}})$') THEN try_cast(v AS TIMESTAMPTZ)::TIMESTAMP ELSE

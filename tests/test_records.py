@@ -125,3 +125,25 @@ def test_evidence(spark):
     more = ev.unionByName(ev.limit(1).withColumn("q", F.lit(3).cast("long")))
     out = {r.q: r for r in evidence.validated_answers(spark.createDataFrame(raw, "q long, raw_output string"), more, "q").collect()}
     assert out[1].citations == [2] and out[2].answer == evidence.NO_EVIDENCE and out[3].error == "malformed output"
+
+
+def test_social_posts(spark):
+    kind = "id string, text string, url string, lang string, created_at string, author_handle string, author_name string, hashtags array<string>, mentions array<string>, urls array<struct<url:string,expanded_url:string>>, _clean string"
+    rows = [("1", "a &amp; b https://x.example/1. https://y.example", "u", "en", "Wed Oct 10 20:19:24 +0000 2018", "h", "n", ["#T", ""], ["@m"], [("https://y.example", "https://long.example")], "x"), ("2", None, None, None, None, None, None, None, None, None, None)]
+    out = {r.doc_id: r for r in documents.social_records(spark.createDataFrame(rows, kind).drop("_clean")).collect()}
+    first = out["X_1"]
+    assert first.content.clean_text == "a & b https://x.example/1. https://y.example" and first.dates.published_at == "2018-10-10T20:19:24Z"
+    assert [u.url for u in first.entities.urls] == ["https://y.example", "https://x.example/1"] and first.entities.hashtags == ["T"] and first.entities.mentions == ["m"]
+    assert out["X_2"].content.clean_text is None and out["X_2"].entities.urls == []
+
+
+def test_publisher_line_and_best_pass(spark):
+    page = "Government of India\nMinistry of Soil\nPosted On: today\nThe title\nbody"
+    assert values(spark, text.publisher_line(F.col("x"), F.lit("The title")), [page, "The title\nx", "no", None]) == ["Ministry of Soil", None, None, None]
+    rows = [("a", 1, 50.0, 30), ("a", 2, 90.0, 30), ("a", 3, 99.0, 30), ("b", 1, None, 0), ("b", 2, None, 5), ("c", 1, 10.0, 0)]
+    best = dedup.best_pass(spark.createDataFrame(rows, "k string, n int, conf double, len int"), ["k"], "n", "conf", "len")
+    assert {(r.k, r.n) for r in best.collect()} == {("a", 2), ("b", 2)}
+
+
+def test_display_verdict(spark):
+    assert values(spark, evidence.display_verdict(F.col("x")), [" Verified", "FALSE", "?", None]) == ["true", "false", "unverifiable", "unverifiable"]
