@@ -227,7 +227,7 @@ QUERIES = {
 # SQL on the same tables, where SQL can say it. The models, tokenizers and packings are tested on small fixtures instead.
 
 _SITE = r"""regexp_replace(lower(coalesce(w.source.organization, regexp_extract(lower(w.source.source_url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1))), '^www\.', '')"""
-_LINES = rf"""(SELECT org, doc_id, record_no, lower(regexp_replace(regexp_replace(line, '[\t\x0B\f\r\x1C-\x1F\x{{85}}\p{{Z}}]+', '', 'g'), '\p{{Nd}}+', '0', 'g')) AS form, line_no
+_LINES = rf"""(SELECT org, doc_id, record_no, line, lower(regexp_replace(regexp_replace(line, '[\t\x0B\f\r\x1C-\x1F\x{{85}}\p{{Z}}]+', '', 'g'), '\p{{Nd}}+', '0', 'g')) AS form, line_no
     FROM (SELECT {_SITE} AS org, doc_id, record_no, unnest(string_split(w.content.raw_text, chr(10))) AS line, generate_subscripts(string_split(w.content.raw_text, chr(10)), 1) - 1 AS line_no FROM webscraper_output w))"""
 _SITES = f"(SELECT {_SITE} AS org, count(DISTINCT doc_id) AS site_docs FROM webscraper_output w GROUP BY 1)"
 _CONFIRMED = f"(SELECT org, form, n_docs, site_docs FROM (SELECT org, form, count(DISTINCT doc_id) AS n_docs FROM {_LINES} WHERE form <> '' AND org IS NOT NULL GROUP BY org, form) JOIN {_SITES} USING (org) WHERE n_docs >= 5 AND 5 * n_docs >= site_docs)"
@@ -259,6 +259,9 @@ _LEAKS = f"(SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id',
 ORACLE: dict[str, str] = {
     "p4_found": f"SELECT record_no, line_no FROM {_LINES} JOIN {_CONFIRMED} USING (org, form)",
     "p4_repeated_lines": f"SELECT org, form AS line_form, n_docs, site_docs FROM {_CONFIRMED}",
+    "p4_cleaned_pages": f"""SELECT record_no, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (hit IS NULL), '') AS cleaned_text, count(hit)::INTEGER AS lines_removed
+        FROM (SELECT l.record_no, l.line, l.line_no, c.n_docs AS hit FROM {_LINES} l LEFT JOIN {_CONFIRMED} c ON l.org = c.org AND l.form = c.form) GROUP BY record_no
+        UNION ALL SELECT record_no, NULL, NULL FROM webscraper_output w WHERE w.content.raw_text IS NULL""",
     "p5_found": f"SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM {_SEEN} a JOIN {_SEEN} b ON a.table_name = b.table_name AND a.face = b.face AND a.row_no < b.row_no AND a.text <> b.text",
     "p7_found": f"SELECT doc_id, item_id FROM {_LEAKS}",
 }
