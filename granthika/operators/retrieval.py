@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.urls import on_whitelist
-from granthika.session import broadcast_within
+from granthika.session import broadcast_within, computed_once
 
 #: Query vectors scored in one pass over the corpus; more queries take more passes.
 QUERY_BLOCK = 20_000
 #: Query tokens that are broadcast at most; beyond that they are joined by shuffle.
 MAX_BROADCAST_TOKENS = 1_000_000
+#: Different keyword phrases that texts are tested for in one pass, as one broadcast row of some MB; more take more passes.
+PHRASE_BLOCK = 20_000
 RRF_K = 60
 
 
@@ -159,11 +161,20 @@ def relevance(corpus: DataFrame, queries: DataFrame, text: str = "text", item: s
     single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
     pairs = weighted.where(F.size("kw") > 1).select(query, F.explode(F.expr("transform(sequence(1, size(kw) - 1), i -> concat(kw[i-1].keyword, ' ', kw[i].keyword))")).alias("phrase")).withColumn("weight", F.lit(3))
     phrases = single.unionByName(pairs).withColumn("word", F.regexp_extract("phrase", "[a-z0-9_]+", 0)).where("word <> ''")
-    # Texts are tested once for each different phrase, whatever number of queries has it.
-    tested = broadcast_within(phrases.select("word", "phrase").distinct().groupBy("word").agg(F.collect_set("phrase").alias("phrases")), MAX_BROADCAST_TOKENS)
-    plain = corpus.where(F.col(text).isNotNull()).select(item, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_text"))
-    words = plain.select(item, "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
-    held = words.join(tested, "word").select(item, F.explode(F.filter("phrases", lambda p: F.col("_text").contains(p) & F.call_function("rlike", F.col("_text"), _bounded(p)))).alias("phrase"))
+    plain = computed_once(
+        corpus.where(F.col(text).isNotNull()).select(item, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_text")).withColumn("_words", F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0))))
+    )
+    # Texts are tested once for each different phrase, whatever number of queries has it, and only for phrases whose first
+    # word they hold. The phrases of a block go to the tasks as one row.
+    different = phrases.select("word", "phrase").distinct()
+    blocks, held = max(1, -(-different.count() // PHRASE_BLOCK)), None
+    for i in range(blocks):
+        own = different.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == i)
+        row = own.agg(F.collect_list(F.struct("word", "phrase")).alias("_entries"), F.collect_set("word").alias("_keys"))
+        matched = computed_once(plain.crossJoin(F.broadcast(row)).select(item, "_text", "_entries", F.array_intersect("_words", "_keys").alias("_hit")).where(F.size("_hit") > 0))
+        near = F.filter("_entries", lambda e: F.array_contains(F.col("_hit"), e["word"]) & F.col("_text").contains(e["phrase"]) & F.call_function("rlike", F.col("_text"), _bounded(e["phrase"])))
+        found = matched.select(item, F.explode(F.transform(near, lambda e: e["phrase"])).alias("phrase"))
+        held = found if held is None else held.unionByName(found)
     hits = held.join(broadcast_within(phrases.select(query, "phrase", "weight"), MAX_BROADCAST_TOKENS), "phrase")
     return hits.groupBy(query, item).agg(F.sum("weight").cast("long").alias("score")).where(F.col("score") >= least)
 
