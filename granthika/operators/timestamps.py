@@ -41,7 +41,8 @@ MONTHS = (
 ANY_ZONE = {"Z": 0, "UTC": 0, "GMT": 0, "IST": 330}
 OF_ZONE = {("Asia/Kathmandu", "NPT"): 345, ("Asia/Dubai", "GST"): 240}
 
-CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+# Ends in \z: in Java, $ also matches before a final line feed.
+CANONICAL = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\z"
 PARSED = "raw string, zone string, date_order string, micros long"
 
 _MONTH_NO = {name: i for i, names in enumerate(MONTHS, 1) for name in names}

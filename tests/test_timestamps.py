@@ -50,3 +50,17 @@ def test_dictionary_grows_and_joins(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, raw string, zone string, date_order string")
     assert normalise(empty, InstantDictionary(spark, f"{tmp_path}/d")).count() == 0
+
+
+def test_found_takes_all_but_the_exact_form(spark, tmp_path):
+    from granthika.plans.time_queries import p2_found
+
+    exact, ends = "2024-01-05T10:20:30Z", ["\n", "\r\n", "\r", "\u0085", "\u2028", " ", "\n\n"]
+    raws = [exact, "2024-01-05T10:20:30.5Z", *[exact + e for e in ends], "\n" + exact, "2024-01-05T10:20:30.5Z\n", None]
+    spark.createDataFrame(list(enumerate(raws)), "id long, published_at string").write.parquet(f"{tmp_path}/pib_releases.parquet")
+    spark.createDataFrame([("h.example", "Asia/Kolkata", "dmy")], "organization string, time_zone string, date_order string").write.parquet(f"{tmp_path}/site_profiles.parquet")
+    web = [(i, (r, r), ("https://h.example/a",)) for i, r in enumerate(raws)]
+    spark.createDataFrame(web, "record_no long, dates struct<published_at:string,retrieved_at:string>, source struct<source_url:string>").write.parquet(f"{tmp_path}/webscraper_output.parquet")
+    found = {(r.field_name, r.row_no): r.instant_utc for r in p2_found(spark, str(tmp_path)).collect()}
+    cases = {i: f"2024-01-05T10:20:30.{'5' if '.' in r else '0'}00000Z" for i, r in enumerate(raws) if i > 1 and r is not None}
+    assert found == {(f, i): t for f in ("published_at", "dates.published_at", "dates.retrieved_at") for i, t in cases.items()}
