@@ -3,8 +3,8 @@
 Method: a positional inverted index of the corpus (term, document, position) over the terms of the evaluation texts is
 written once. Each window of ``phrase`` consecutive words of an item is looked up by its rarest term; the position in
 the document less the position in the item gives an offset. For each (item, document, offset) the posting lists of all
-terms of the item are intersected at that offset; runs of consecutive words are phrase matches, and words that agree at
-nearby offsets are proximity matches.
+terms of the item are intersected at that offset; runs of consecutive words are phrase matches. Words that agree at
+nearby offsets are proximity matches; as an edit can take away any one word, these are looked for at all offsets.
 
 Words: pieces between white space of any kind, lower case, without punctuation and marks at both ends; pieces without a
 letter or digit are none.
@@ -30,6 +30,10 @@ PHRASE = 12
 MAX_BROADCAST_WORDS = 1_000_000
 #: Remembered pieces in a task; the memory is emptied when it is full.
 REMEMBERED = 400_000
+#: Pieces in which a long text is aligned for proximity, in steps of the slop (8,192 words with a slop of 8).
+PIECE = 1024
+#: Bands (times items) that are held as an array even if few of them are met.
+DENSE = 1_000_000
 POSTINGS = "doc_id long, term string, pos int"
 
 
@@ -130,6 +134,79 @@ def phrase_matches(aligned: DataFrame, phrase: int = PHRASE) -> DataFrame:
     return runs.where(F.col("n_words") >= phrase).groupBy("doc_id", "item_id").agg(F.max("n_words").cast("long").alias("longest_run"))
 
 
+def _near(terms: list[str], starts: np.ndarray, items: np.ndarray, places: np.ndarray, slop: int, phrase: int, piece: int, dense: int):
+    """Arrow batches (id, text) to doc_id, item_id, n_words.
+
+    Term i stands at ``places`` starts[i] to starts[i + 1] of ``items``. Every pair of a document word and an equal item
+    word sets the bit of its item position at its item and band of shifts.
+    """
+    codes = {t: i for i, t in enumerate(terms)}
+    number, own = np.unique(items, return_inverse=True)
+    widest = int(places.max(initial=0)) + 1
+    held, before = np.diff(starts), -(-widest // slop) + 1
+    block, bit = places // 64, np.uint64(1) << (places % 64).astype(np.uint64)
+    blocks = -(-widest // 64)
+
+    def matches(at: np.ndarray, ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Item numbers and word counts of the matching bands; ``first`` is the first half band of the piece."""
+        n = held[ids]
+        pair = np.repeat(starts[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        half = (np.repeat(at, n) - places[pair]) // slop - first + before
+        width = int(half.max(initial=0)) + 2
+        key = own[pair] * width + half
+        # A pair lies in the band that begins in its half and in the one before.
+        if number.size * width <= max(dense, 8 * key.size):
+            bits = np.zeros((blocks, number.size * width), np.uint64)
+            np.bitwise_or.at(bits, (block[pair], key), bit[pair])
+            bits[:, :-1] |= bits[:, 1:].copy()
+            bands = None
+        else:
+            bands, to = np.unique(np.concatenate([key, key - 1]), return_inverse=True)
+            bits = np.zeros((blocks, bands.size), np.uint64)
+            np.bitwise_or.at(bits, (np.tile(block[pair], 2), to), np.tile(bit[pair], 2))
+        words = np.bitwise_count(bits).sum(axis=0, dtype=np.int64)
+        good = np.flatnonzero(words >= phrase)
+        return (good if bands is None else bands[good]) // width, words[good]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, span = _Codes(codes), piece * slop
+        for batch in batches:
+            docs, found, counts = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                ids = np.fromiter(map(seen.__getitem__, text.lower().split()), np.int64)
+                ids = ids[ids != -2]
+                at = np.flatnonzero(ids >= 0)
+                best = np.zeros(number.size, np.int64)
+                # Long texts go piece by piece; pieces overlap, so every band lies in one as a whole.
+                for begin in range(0, ids.size, span):
+                    a, b = np.searchsorted(at, [begin, begin + span + widest + 2 * slop])
+                    if a < b:
+                        np.maximum.at(best, *matches(at[a:b], ids[at[a:b]], begin // slop))
+                hit = np.flatnonzero(best)
+                docs.append(np.full(hit.size, doc, np.int64))
+                found.append(number[hit])
+                counts.append(best[hit])
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (docs, found, counts)], ["doc_id", "item_id", "n_words"])
+
+    return run
+
+
+def near_matches(documents: DataFrame, words: DataFrame, slop: int = 8, phrase: int = PHRASE, piece: int = PIECE, dense: int = DENSE) -> DataFrame:
+    """``proximity_matches`` of all words of all items with all documents (doc_id, text).
+
+    There are no anchors that an edit could take away. The words of the held-out items, a set that doesn't grow with the
+    corpus, pass through the driver.
+    """
+    rows = words.sort("term", "item_id", "pos").toPandas()
+    terms, starts = np.unique(rows["term"].to_numpy(object), return_index=True)
+    run = _near(terms.tolist(), np.append(starts, len(rows)), rows["item_id"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64), slop, phrase, piece, dense)
+    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, "doc_id long, item_id long, n_words long")
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+
+
 def proximity_matches(aligned: DataFrame, slop: int = 8, phrase: int = PHRASE) -> DataFrame:
     """doc_id, item_id, n_words: at least ``phrase`` different item words at shifts that lie within ``slop`` of each other.
 

@@ -167,7 +167,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold most of a phrase's words, with small gaps or insertions."""
-    return leakage.proximity_matches(_aligned(spark, sf_dir))
+    words = leakage.item_words(table(spark, sf_dir, "eval_items"))
+    return leakage.near_matches(table(spark, sf_dir, "documents"), words)
 
 
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,41 @@ def test_edges(spark):
 def test_empty(spark):
     assert leakage.phrase_matches(aligned(spark, [], [(1, "a " * 12, None)])).count() == 0
     assert leakage.phrase_matches(aligned(spark, [(1, "a " * 12, None)], [])).count() == 0
+
+
+def brute_near(docs, items, slop=8, phrase=12):
+    words = lambda t: [w for w in map(leakage.word, (t or "").lower().split()) if w]
+    out = {}
+    for d, t, _ in docs:
+        for i, x, _ in items:
+            bands = {}
+            for p, w in enumerate(words(t)):
+                for k, v in enumerate(words(x)):
+                    if v == w:
+                        for b in ((p - k) // slop, (p - k) // slop - 1):
+                            bands.setdefault(b, set()).add(k)
+            n = max(map(len, bands.values()), default=0)
+            if n >= phrase:
+                out[d, i] = max(n, out.get((d, i), 0))
+    return out
+
+
+def test_proximity_of_edited_texts(spark, tmp_path):
+    from granthika.llm.queries import p7_proximity
+
+    w = [f"w{i}" for i in range(24)]
+    at = lambda i, *new: " ".join([*w[:i], *new, *w[i + 1 :]])
+    texts = [at(5), at(5, "x"), at(11, "x"), at(12), " ".join(w[:12]), " ".join(w[:11]), " ".join([*w[:6], "x", "y", *w[6:12]]), " ".join([*w[:10], *["x"] * 30, *w[10:20]]), " ".join(x for i, x in enumerate(w) if i % 2), "z " * 500 + at(7, "x"), None, ""]
+    items = [(1, " ".join(w), "p"), (2, at(5, "rare"), "p"), (3, " ".join(["rare1", *w[1:12], "rare2", "w12", "w13"]), "p"), (4, "a b " * 50, "p"), (5, "w1 w2", "p"), (6, None, "p")]
+    docs = [(n, t, "t") for n, t in enumerate(texts)] + [(90, "b a " * 9, "t")]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/eval_items.parquet")
+    expected = brute_near(docs, items)
+    assert {(0, 1), (1, 1), (0, 3), (1, 2), (6, 1), (8, 1)} <= expected.keys() and (5, 1) not in expected
+    assert {(r.doc_id, r.item_id): r.n_words for r in p7_proximity(spark, str(tmp_path)).collect()} == expected
+    words = leakage.item_words(spark.createDataFrame(items, ITEMS))
+    # Long texts in pieces, and bands held without an array.
+    for sizes in ({"piece": 2}, {"dense": 0}):
+        assert {(r.doc_id, r.item_id): r.n_words for r in leakage.near_matches(spark.createDataFrame(docs, DOCS), words, **sizes).collect()} == expected
+    assert leakage.near_matches(spark.createDataFrame([], DOCS), words).count() == 0
+    assert leakage.near_matches(spark.createDataFrame(docs, DOCS), words.limit(0)).count() == 0
