@@ -152,22 +152,20 @@ def publisher_line(text: Column, title: Column) -> Column:
     return F.when(at > 1, F.try_element_at(own, F.lit(-1)))
 
 
-def important_text(text: Column, keyword: str, max_characters: int = 2000, min_characters: int = 35) -> Column:
+def important_text(text: Column, keyword: str | Column, max_characters: int = 2000, min_characters: int = 35) -> Column:
     """Sentences that hold the keyword's words most often, in order of the text, as many as fit.
 
-    Sentences are taken by falling count, then position; one that doesn't fit is passed over, and later ones may still fit.
+    ``keyword`` is a text, or a column of texts; without words in it, sentences go by position. Sentences are taken by
+    falling count, then position; one that doesn't fit is passed over, and later ones may still fit.
     """
-    terms = [t for t in dict.fromkeys(w for w in _words(keyword.lower()))]
-    all_terms = [w for w in _words(keyword.lower())]
+    keyword = F.lit(keyword) if isinstance(keyword, str) else keyword
+    terms = F.regexp_extract_all(F.lower(F.coalesce(keyword, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}_-]+"), F.lit(0))
     marked = F.regexp_replace(clean_web(text), r"\[\.\.\.\]|(?<=[.!?])\s+", "\u0001")
     sentences = F.transform(F.split(marked, "\u0001"), lambda s, i: F.struct(i.alias("at"), strip(s).alias("s")))
     long_enough = F.filter(sentences, lambda x: F.length(x["s"]) >= min_characters)
 
     def score(x: Column) -> Column:
-        total = F.lit(0)
-        for t in terms:
-            total = total + occurrences(F.lower(x["s"]), F.lit(t)) * all_terms.count(t)
-        return total
+        return F.aggregate(terms, F.lit(0), lambda n, t: n + occurrences(F.lower(x["s"]), t))
 
     ranked = F.array_sort(F.transform(long_enough, lambda x: F.struct((-score(x)).alias("order"), x["at"].alias("at"), x["s"].alias("s"))))
     empty = F.expr("cast(array() as array<struct<at:int,s:string>>)")
@@ -179,9 +177,3 @@ def important_text(text: Column, keyword: str, max_characters: int = 2000, min_c
         ),
     )
     return F.array_join(F.transform(F.array_sort(taken["kept"]), lambda x: x["s"]), " ")
-
-
-def _words(text: str) -> list[str]:
-    import re
-
-    return re.findall(r"[\w-]+", text)

@@ -126,7 +126,7 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def important_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = table(spark, sf_dir, "webscraper_output").where("content.raw_text is not null")
-    return web.select("record_no", text.important_text(F.col("content.raw_text"), "solar pumps", 600).alias("important_text"))
+    return web.select("record_no", text.important_text(F.col("content.raw_text"), "solar pumps").alias("important_text"))
 
 
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,13 +95,14 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best five web pages of each claim from listed hosts, with the sentences that matter."""
+    """Best five web pages of each claim from listed hosts, with the sentences that hold the claim's keywords."""
     web = table(spark, sf_dir, "webscraper_output").select(F.col("record_no").alias("item_id"), F.col("source.source_url").alias("url"), F.col("content.clean_text").alias("text"))
     pages = web.select("item_id", "url", (F.length("text") > 0).alias("has_content"))
     candidates = retrieval.relevance(web, _claims(spark, sf_dir)).join(pages, "item_id").select("query_id", "url", F.lit(0).alias("keyword_pos"), F.col("item_id").alias("result_pos"), "score", "has_content")
     best = materialise(retrieval.web_evidence(candidates, ["example"]), "web-evidence")
-    return best.join(web.select(F.col("item_id").alias("result_pos"), "text"), "result_pos").select(
-        "query_id", "rank", "url", host(F.col("url")).alias("host"), "score", important_text(F.col("text"), "solar pumps rupees", 400).alias("excerpt")
+    named = best.join(_keyword_text(_claims(spark, sf_dir)).withColumnRenamed("text", "terms"), "query_id")
+    return named.join(web.select(F.col("item_id").alias("result_pos"), "text"), "result_pos").select(
+        "query_id", "rank", "url", host(F.col("url")).alias("host"), "score", important_text(F.col("text"), F.col("terms")).alias("excerpt")
     )
 
 

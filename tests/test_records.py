@@ -147,3 +147,20 @@ def test_publisher_line_and_best_pass(spark):
 
 def test_display_verdict(spark):
     assert values(spark, evidence.display_verdict(F.col("x")), [" Verified", "FALSE", "?", None]) == ["true", "false", "unverifiable", "unverifiable"]
+
+
+def test_excerpts_follow_the_claims(spark, tmp_path):
+    from granthika.plans.retrieval_queries import web_evidence
+
+    rest = " ".join(f"Filler sentence number {i} stands here to take up some of the room." for i in range(60))
+    page = f"{rest} The new wells of the valley were counted last week. Farmers got सौर पंप in every village of the hills. The old school roof was mended after heavy rain."
+    claims = [(1, "q", ["wells", "valley"]), (2, "q", ["school roof", None]), (3, "q", ["village", "सौर पंप"]), (4, "q", ["farmers"])]
+    spark.createDataFrame(claims, "query_id long, query string, keywords array<string>").write.parquet(f"{tmp_path}/claim_queries.parquet")
+    spark.createDataFrame([(7, ("https://a.example/x",), (page,))], "record_no long, source struct<source_url:string>, content struct<clean_text:string>").write.parquet(f"{tmp_path}/webscraper_output.parquet")
+    out = {r.query_id: r.excerpt for r in web_evidence(spark, str(tmp_path)).collect()}
+    wanted = {1: "wells of the valley", 2: "school roof", 3: "सौर पंप", 4: "Farmers got"}
+    assert out.keys() == wanted.keys() and all(w in out[q] and len(out[q]) <= 2100 for q, w in wanted.items())
+    assert "school roof" not in out[1] and "wells" not in out[2]
+    x = spark.createDataFrame([("One long sentence about a pump stands here. Another long sentence on सड़क is here.", t) for t in ("pump", "सड़क", "", None)], "t string, k string")
+    got = [r[0] for r in x.select(text.important_text(x.t, x.k, 50)).collect()]
+    assert [g[:3] for g in got] == ["One", "Ano", "One", "One"]
