@@ -7,19 +7,25 @@ other-sized partner, and texts without shared tokens, don't match.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.urls import on_whitelist
-from granthika.session import broadcast_within
+from granthika.session import broadcast_within, computed_once, materialise
 
 #: Query vectors scored in one pass over the corpus; more queries take more passes.
 QUERY_BLOCK = 20_000
-#: Query tokens that are broadcast at most; beyond that they are joined by shuffle.
-MAX_BROADCAST_TOKENS = 1_000_000
+#: Scores that a task holds at once.
+SCORE_CELLS = 3_000_000
+#: First words of phrases that are tested inside a row; with more of them every word goes through the join.
+MAX_FIRST_WORDS = 20_000
+WORD = r"\p{L}\p{M}\p{N}_"
 RRF_K = 60
 
 
@@ -43,21 +49,28 @@ def dense_top(corpus: DataFrame, queries: DataFrame, k: int = 20, item: str = "i
     Queries are taken in blocks of at most ``block`` vectors, each block one pass: a task scores its rows against the
     block and keeps k rows a query, so what is shuffled is k rows a query and Arrow batch, not pairs.
     """
-    ranges = [0, *(queries.approxQuantile(query, [i / n for i in range(1, n)], 0.01) if (n := -(-queries.count() // block)) > 1 else [])]
     parts = []
-    for i, low in enumerate(ranges):
-        own = queries.where(F.col(query) > low) if i else queries
-        if i + 1 < len(ranges):
-            own = own.where(F.col(query) <= ranges[i + 1])
-        rows = [r for r in own.where(F.col(vector).isNotNull()).select(query, vector).orderBy(query).collect() if any(r[1])]
+    for own in _blocks(queries.where(F.col(vector).isNotNull()), query, block):
+        rows = [r for r in own.select(query, vector).orderBy(query).collect() if any(r[1])]
         if rows:
             parts.append(corpus.where(F.col(vector).isNotNull()).select(item, vector).mapInPandas(_scorer(corpus.sparkSession, rows, k, item, query, vector), f"{query} long, {item} long, score double"))
+    return _best_of(parts, corpus.sparkSession, query, item, k)
+
+
+def _blocks(queries: DataFrame, query: str, block: int) -> Iterator[DataFrame]:
+    """``queries`` in ranges of about ``block`` different ids; one at a time is held by the driver."""
+    ids = queries.select(query).where(F.col(query).isNotNull()).distinct()
+    n = -(-ids.count() // block)
+    cuts = sorted(set(ids.approxQuantile(query, [i / n for i in range(1, n)], 0.0))) if n > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = queries if low is None else queries.where(F.col(query) > low)
+        yield own if high is None else own.where(F.col(query) <= high)
+
+
+def _best_of(parts: list[DataFrame], spark: SparkSession, query: str, item: str, k: int) -> DataFrame:
     if not parts:
-        return corpus.sparkSession.createDataFrame([], f"{query} long, {item} long, score double, rank int")
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return top_by(scored, query, item, k)
+        return spark.createDataFrame([], f"{query} long, {item} long, score double, rank int")
+    return top_by(reduce(DataFrame.unionByName, parts), query, item, k)
 
 
 def _scorer(spark, rows: list, k: int, item: str, query: str, vector: str):
@@ -81,20 +94,55 @@ def _scorer(spark, rows: list, k: int, item: str, query: str, vector: str):
     return run
 
 
-def token_weights(rows: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """key, token, weight: counts of the lower-case words of a text; of the given tokens only, where there is a vocabulary."""
+def token_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token, weight: counts of the lower-case words of a text."""
     words = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.split(F.lower(text), r"[\s\p{Z}]+")).alias("token")).where("token <> ''")
-    if vocabulary is not None:
-        words = words.join(broadcast_within(vocabulary.select("token").distinct(), MAX_BROADCAST_TOKENS), "token", "left_semi")
-    # Counts are combined in the task before the shuffle, where all words of a text still are together.
     return words.groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
 
 
-def sparse_top(corpus_tokens: DataFrame, query_tokens: DataFrame, k: int = 20, item: str = "item_id", query: str = "query_id") -> DataFrame:
-    """Top ``k`` by the dot product of shared tokens' weights."""
-    q = query_tokens.select(query, "token", F.col("weight").alias("_q"))
-    scored = corpus_tokens.join(broadcast_within(q, MAX_BROADCAST_TOKENS), "token").groupBy(query, item).agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
-    return top_by(scored, query, item, k)
+def sparse_top(corpus: DataFrame, query_tokens: DataFrame, k: int = 20, text: str = "text", item: str = "item_id", query: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """Top ``k`` by the dot product of word counts and the queries' token weights (query, token, weight).
+
+    A task scores its texts against the broadcast query weights and keeps k rows a query and Arrow batch, so neither words
+    nor pairs are shuffled. Queries are taken in blocks of at most ``block``, each block one pass.
+    """
+    parts = []
+    for own in _blocks(query_tokens, query, block):
+        rows = own.select(query, "token", "weight").orderBy(query, "token").toPandas()
+        if len(rows):
+            words = F.split(F.lower(text), r"[\s\p{Z}]+").alias("words")
+            parts.append(corpus.where(F.col(text).isNotNull()).select(item, words).mapInArrow(_sparse_scorer(corpus.sparkSession, rows, k, item, query), f"{query} long, {item} long, score double"))
+    return _best_of(parts, corpus.sparkSession, query, item, k)
+
+
+def _sparse_scorer(spark, rows: pd.DataFrame, k: int, item: str, query: str):
+    queries, own = np.unique(rows[query].to_numpy(), return_inverse=True)
+    tokens, column = np.unique(rows["token"].to_numpy(object), return_inverse=True)
+    shared = spark.sparkContext.broadcast((queries, tokens, own[np.argsort(column, kind="stable")], rows["weight"].to_numpy()[np.argsort(column, kind="stable")], np.append(0, np.cumsum(np.bincount(column)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vocabulary, owner, weight, starts = shared.value
+        known = pa.array(vocabulary, pa.string())
+        for whole in batches:
+            step = max(1, SCORE_CELLS // ids.size)
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                lists = batch.column(1)
+                code = pc.index_in(lists.flatten(), value_set=known)
+                hit = np.flatnonzero(np.asarray(code.is_valid()))
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[hit]
+                # Each different (text, token) once with its count, then with each query that has the token.
+                pair, n = np.unique(doc * np.int64(vocabulary.size) + code.to_numpy(zero_copy_only=False)[hit].astype(np.int64), return_counts=True)
+                doc, token = pair // vocabulary.size, pair % vocabulary.size
+                held = starts[token + 1] - starts[token]
+                at = np.repeat(starts[token] - np.append(0, np.cumsum(held)[:-1]), held) + np.arange(held.sum())
+                scores = np.bincount(owner[at] * batch.num_rows + np.repeat(doc, held), weights=weight[at] * np.repeat(n, held), minlength=ids.size * batch.num_rows).reshape(ids.size, -1)
+                items = batch.column(0).to_numpy(zero_copy_only=False)
+                order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                q, place = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(items[order[q, place]], pa.int64()), pa.array(best[q, place])], [query, item, "score"])
+
+    return run
 
 
 def fuse(branches: list[DataFrame], k: int = 5, item: str = "item_id", query: str = "query_id", constant: int = RRF_K) -> DataFrame:
@@ -110,8 +158,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, text: str, k: int = 5, prefetc
     own = filtered(corpus, source_type, language)
     embed = embed or hashed_vectors
     dense = dense_top(embed(own, "item_id", text), embed(queries, "query_id", text), prefetch)
-    tokens = token_weights(queries, "query_id", text)
-    return fuse([dense, sparse_top(token_weights(own, "item_id", text, tokens), tokens, prefetch)], k)
+    return fuse([dense, sparse_top(own, token_weights(queries, "query_id", text), prefetch, text)], k)
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
@@ -144,27 +191,48 @@ def search_text(keywords: Column) -> Column:
     return F.array_join(F.transform(F.when(F.size(several) > 0, several).otherwise(kept), lambda k: F.concat(F.lit('"'), k, F.lit('"'))), " OR ")
 
 
-def _bounded(phrase: Column) -> Column:
-    """Pattern of a phrase that no ASCII letter, digit or underscore touches."""
-    return F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), phrase, F.lit(r"\E($|[^A-Za-z0-9_])"))
+def keyword_phrases(queries: DataFrame, query: str = "query_id") -> DataFrame:
+    """query, phrase, weight: each keyword with its weight, and each pair of neighbouring keywords with 3.
+
+    Phrases are lower case, with single spaces, and without what isn't a letter, mark, digit or underscore at their ends.
+    """
+    weighted = queries.select(query, keyword_weights(F.col("keywords")).alias("kw"))
+    single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("kw") - 1), lambda i: F.concat(F.get("kw", i - 1)["keyword"], F.lit(" "), F.get("kw", i)["keyword"]))
+    both = single.unionByName(weighted.where(F.size("kw") > 1).select(query, F.explode(pairs).alias("phrase")).withColumn("weight", F.lit(3)))
+    plain = F.regexp_replace(F.regexp_replace("phrase", r"[\s\p{Z}]+", " "), rf"^[^{WORD}]+|[^{WORD}]+$", "")
+    return both.withColumn("phrase", plain).where("phrase <> ''")
+
+
+def held_phrases(corpus: DataFrame, phrases: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """item, phrase: each different phrase that a text holds between word ends, once.
+
+    A text becomes its words, each with what stands behind it up to the next. Where a word begins a phrase, the words from
+    there on, as many as the longest phrase has, are joined to the phrases by that word; the text itself leaves the plan
+    before. First words are tested inside the row, so other places never become rows.
+    """
+    own = phrases.select("phrase").distinct().withColumns({"word": F.regexp_extract("phrase", f"[{WORD}]+", 0), "_n": F.regexp_count("phrase", F.lit(f"[{WORD}]+"))})
+    firsts = [r[0] for r in own.select("word").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+    longest = own.agg(F.max("_n")).first()[0] or 1
+    lower = F.regexp_replace(F.lower(text), r"[\s\p{Z}]+", " ")
+    plain = computed_once(corpus.where(F.col(text).isNotNull()).select(item, lower.alias("_t")))
+    words = computed_once(plain.select(item, *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(n) for n, p in (("_w", f"[{WORD}]+"), ("_u", f"[{WORD}]+[^{WORD}]*"))]))
+    at = F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.alias("i")))
+    if len(firsts) <= MAX_FIRST_WORDS:
+        at = F.filter(at, lambda x: x["word"].isin(firsts))
+    ahead = F.transform(at, lambda x: F.struct(x["word"].alias("word"), F.array_join(F.slice("_u", x["i"] + 1, longest), "").alias("ahead")))
+    places = words.select(item, F.explode(F.array_distinct(ahead)).alias("x")).select(item, "x.word", "x.ahead")
+    found = places.join(broadcast_within(own.select("word", "phrase")), "word")
+    behind = F.substring("ahead", F.length("phrase") + 1, F.lit(1))
+    return found.where(F.startswith("ahead", "phrase") & ~behind.rlike(f"[{WORD}]")).select(item, "phrase").distinct()
 
 
 def relevance(corpus: DataFrame, queries: DataFrame, text: str = "text", item: str = "item_id", query: str = "query_id", least: int = 1) -> DataFrame:
     """query, item, score: each keyword of a query that the text holds adds its weight, and each pair of neighbouring
-    keywords that stands there as a phrase adds 3; rows below ``least`` fall away.
-
-    Keywords are looked up by their first word, so only texts that hold it are tested.
+    keywords that stands there as a phrase adds 3; rows below ``least`` fall away. Words are those of any script.
     """
-    weighted = queries.select(query, keyword_weights(F.col("keywords")).alias("kw"))
-    single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
-    pairs = weighted.where(F.size("kw") > 1).select(query, F.explode(F.expr("transform(sequence(1, size(kw) - 1), i -> concat(kw[i-1].keyword, ' ', kw[i].keyword))")).alias("phrase")).withColumn("weight", F.lit(3))
-    phrases = single.unionByName(pairs).withColumn("word", F.regexp_extract("phrase", "[a-z0-9_]+", 0)).where("word <> ''")
-    # Texts are tested once for each different phrase, whatever number of queries has it.
-    tested = broadcast_within(phrases.select("word", "phrase").distinct().groupBy("word").agg(F.collect_set("phrase").alias("phrases")), MAX_BROADCAST_TOKENS)
-    plain = corpus.where(F.col(text).isNotNull()).select(item, F.regexp_replace(F.lower(text), r"\s+", " ").alias("_text"))
-    words = plain.select(item, "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
-    held = words.join(tested, "word").select(item, F.explode(F.filter("phrases", lambda p: F.col("_text").contains(p) & F.call_function("rlike", F.col("_text"), _bounded(p)))).alias("phrase"))
-    hits = held.join(broadcast_within(phrases.select(query, "phrase", "weight"), MAX_BROADCAST_TOKENS), "phrase")
+    phrases = materialise(keyword_phrases(queries, query), "phrases")
+    hits = held_phrases(corpus, phrases, text, item).join(broadcast_within(phrases), "phrase")
     return hits.groupBy(query, item).agg(F.sum("weight").cast("long").alias("score")).where(F.col("score") >= least)
 
 

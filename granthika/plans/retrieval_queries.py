@@ -31,8 +31,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str, language: str | None = None, k: int = 20) -> DataFrame:
     tokens = materialise(retrieval.token_weights(_keyword_text(_claims(spark, sf_dir)), "query_id", "text"), "query-tokens")
-    corpus = retrieval.filtered(_corpus(spark, sf_dir), language=language)
-    return retrieval.sparse_top(retrieval.token_weights(corpus, "item_id", "text", tokens), tokens, k)
+    return retrieval.sparse_top(retrieval.filtered(_corpus(spark, sf_dir), language=language), tokens, k)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +132,12 @@ _PHRASES = f"""(SELECT query_id, unnest(kw) AS phrase, len(kw) - generate_subscr
 
 
 def _relevance_sql(where: str = "true") -> str:
-    plain = rf"(SELECT doc_id AS item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents WHERE {where})"
-    return rf"""(SELECT query_id, item_id, sum(weight)::BIGINT AS score FROM (SELECT DISTINCT phrase FROM {_PHRASES}) JOIN {plain} ON contains(t, phrase) AND regexp_matches(t, '(^|[^A-Za-z0-9_])' || regexp_escape(phrase) || '($|[^A-Za-z0-9_])')
-        JOIN {_PHRASES} USING (phrase) WHERE regexp_matches(phrase, '[a-z0-9_]') GROUP BY query_id, item_id)"""
+    # Words stand between two marks, so a phrase with marks is found only between word ends.
+    marked = lambda x: rf"regexp_replace({x}, '([{retrieval.WORD}]+)', '<\1>', 'g')"
+    plain = rf"(SELECT doc_id AS item_id, {marked(r"regexp_replace(regexp_replace(lower(text), '[<>]', '=', 'g'), '[\s\p{Z}]+', ' ', 'g')")} AS t FROM documents WHERE {where})"
+    bare = rf"(SELECT query_id, weight, regexp_replace(regexp_replace(phrase, '[\s\p{{Z}}]+', ' ', 'g'), '^[^{retrieval.WORD}]+|[^{retrieval.WORD}]+$', '', 'g') AS phrase FROM {_PHRASES})"
+    each = f"(SELECT phrase, {marked('phrase')} AS m FROM (SELECT DISTINCT phrase FROM {bare}) WHERE phrase <> '')"
+    return f"(SELECT query_id, item_id, sum(weight)::BIGINT AS score FROM {each} JOIN {plain} ON contains(t, m) JOIN {bare} USING (phrase) GROUP BY query_id, item_id)"
 
 
 _EV = f"(SELECT s.query_id, s.rank AS source_number, s.item_id, d.organization, d.text FROM {_sparse_sql(k=5)} s JOIN documents d ON d.doc_id = s.item_id)"

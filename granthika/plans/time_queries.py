@@ -9,8 +9,6 @@ from granthika.functions.urls import host
 from granthika.operators.timestamps import InstantDictionary, is_canonical, normalise, resolve_only
 from granthika.session import broadcast_within, scratch_path, table
 
-#: Sites with a profile; beyond this number the profiles are joined by shuffle.
-MAX_BROADCAST_SITES = 100_000
 HOME_ZONE, HOME_ORDER = "Asia/Kolkata", "dmy"
 
 
@@ -23,8 +21,7 @@ def date_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = broadcast_within(
         table(spark, sf_dir, "site_profiles").select(
             F.regexp_replace(F.lower("organization"), r"^www\.", "").alias("site"), F.col("time_zone").alias("site_zone"), F.col("date_order").alias("site_order")
-        ),
-        MAX_BROADCAST_SITES,
+        )
     )
     pages = (
         table(spark, sf_dir, "webscraper_output")

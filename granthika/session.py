@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a side that is broadcast at most, as the rows' text and numbers take them.
+MAX_BROADCAST_BYTES = 64 << 20
+_SCRATCH: list[str] = []
+
 
 def build_session(app: str = "granthika", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; ``conf`` keys use ``__`` for dots."""
@@ -32,17 +37,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset (tests): it gets
+    a temporary folder; on a cluster that is an error, as other machines couldn't read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-granthika-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/granthika/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; ``clear_scratch`` deletes it."""
+    _SCRATCH.append(f"{shared_dir(spark)}/granthika/{tag}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch() -> int:
+    """Deletes what ``scratch_path`` has named so far in this process; returns the number of paths.
+
+    For the end of a job: results that are read lazily from scratch tables must be written before.
+    """
+    from pyarrow import fs
+
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        files, path = fs.FileSystem.from_uri(_SCRATCH.pop())
+        if files.get_file_info(path).type != fs.FileType.NotFound:
+            files.delete_dir(path)
+    return n
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is none yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -56,12 +91,50 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hints a broadcast only where ``df`` has been counted and has at most ``max_rows`` rows.
+def stored(spark: SparkSession, tag: str, mark: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written once in the shared folder for each ``mark`` and read from there after that.
+
+    The mark must name all that the table depends on. A second small table is written last, so one that was left half
+    written is written anew.
+    """
+    path = f"{shared_dir(spark)}/granthika/{tag}-{mark}"
+    if read_if_there(spark, f"{path}/done", "mark string") is None:
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(mark).alias("mark")).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def fingerprint(rows: DataFrame, *parts: object) -> str:
+    """Mark of the files that ``rows`` is read from (paths, sizes, times) and of ``parts``; without files no mark occurs twice."""
+    meta = F.col("_metadata")
+    if not rows.inputFiles():
+        return uuid.uuid4().hex
+    files = rows.select(meta["file_path"].alias("p"), meta["file_size"].alias("s"), meta["file_modification_time"].alias("t")).distinct()
+    found = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")).alias("x")).first()
+    return uuid.uuid5(uuid.NAMESPACE_OID, repr((found.n, str(found.x), parts))).hex
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, about: texts by their length, arrays of texts likewise, other values 8 each."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        if kind == "string" or kind == "binary":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            size = size + F.coalesce(F.aggregate(name, F.lit(0), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 * F.greatest(F.size(name), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def broadcast_within(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast only where ``df`` has been measured and its rows take at most ``max_bytes``.
 
     Beyond the bound the side is returned as it is, and Spark joins it by shuffle.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0) <= max_bytes else df
 
 
 def computed_once(df: DataFrame) -> DataFrame:
