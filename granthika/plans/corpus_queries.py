@@ -11,7 +11,7 @@ from granthika.operators.dedup import first_texts, last_by
 from granthika.operators.documents import SECTION_SEPARATOR, parse_object
 from granthika.plans import sqltext as q
 from granthika.schemas import CONTENT_JSON
-from granthika.session import computed_once, materialise, table
+from granthika.session import computed_once, materialise, spread, table
 
 POINT_NAMESPACE = __import__("uuid").uuid5(__import__("uuid").NAMESPACE_DNS, "granthika")
 WHITELIST = ["pib.example", "example", "oshudratimes.example"]
@@ -142,26 +142,35 @@ def first_occurrence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.sum("line_no").cast("long").alias("sum_line_no"))
 
 
+def _span_rows(spark: SparkSession, sf_dir: str, spans) -> DataFrame:
+    found = spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(spans(F.col("text"))).alias("span_no", "s"))
+    return found.select("doc_id", F.col("span_no").cast("long").alias("span_no"), *[F.col(f"s.{c}").cast("long").alias(n) for c, n in (("start", "char_start"), ("end", "char_end"), ("n", "n_words"))])
+
+
 def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _documents(spark, sf_dir).where("text is not null").select("doc_id", "text", F.explode(chunking.paragraph_spans(F.col("text"))).alias("p"))
-    inside = F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum("p.n").cast("long").alias("n_words"), F.sum(F.length(inside)).cast("long").alias("n_chars"))
+    return _span_rows(spark, sf_dir, chunking.paragraph_spans)
 
 
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _documents(spark, sf_dir).where("text is not null").select("doc_id", F.posexplode(chunking.sentence_spans(F.col("text"))).alias("sentence_no", "s"))
-    return spans.select("doc_id", F.col("sentence_no").cast("long").alias("sentence_no"), F.col("s.start").cast("long").alias("char_start"), F.col("s.end").cast("long").alias("char_end"), F.col("s.n").cast("long").alias("n_words"))
+    return _span_rows(spark, sf_dir, chunking.sentence_spans)
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    d = spread(_documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
     return chunking.chunk(d).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
+def _release_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, content and sections of the releases with text, and their metadata."""
+    meta = [c for c in ("title", "organization", "url", "published_at", "language")]
+    r = spread(table(spark, sf_dir, "pib_releases").select("id", "content_json", *meta))
+    parsed = r.select(F.col("id").alias("document_id"), *meta, F.filter(parse_object(F.col("content_json"), CONTENT_JSON)["sections"], lambda s: ~text.is_blank(s["content"])).alias("sections")).where(F.size("sections") > 0)
+    return computed_once(computed_once(parsed).withColumn("content", F.array_join(F.transform("sections", lambda s: s["content"]), SECTION_SEPARATOR)))
+
+
 def release_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "pib_releases").select(F.col("id").alias("document_id"), F.filter(parse_object(F.col("content_json"), CONTENT_JSON)["sections"], lambda s: ~text.is_blank(s["content"])).alias("sections")).where(F.size("sections") > 0)
-    d = computed_once(parsed).withColumn("content", F.array_join(F.transform("sections", lambda s: s["content"]), SECTION_SEPARATOR))
-    return chunking.chunk(computed_once(d), chunking.ChunkingConfig(120, 160, 20)).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")
+    d = _release_texts(spark, sf_dir).select("document_id", "content", "sections")
+    return chunking.chunk(d, chunking.ChunkingConfig(120, 160, 20)).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +244,6 @@ ORACLE = {
     "first_occurrence_lines": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
         f AS (SELECT doc_id, min(line_no) AS line_no FROM l WHERE regexp_matches(line, '[^\s\p{{Z}}\x{{85}}]') GROUP BY doc_id, lower({q.one_spaced('line')}))
         SELECT doc_id, count(*) AS n_kept, sum(line_no)::BIGINT AS sum_line_no FROM f GROUP BY doc_id""",
-    "paragraph_spans": rf"""WITH p AS (SELECT doc_id, {q.strip('x')} AS x FROM (SELECT doc_id, unnest(string_split_regex(text, '\n{q.SPACE}*\n')) AS x FROM documents))
-        SELECT doc_id, count(*) AS n_paragraphs, sum({q.words('x')})::BIGINT AS n_words, sum(length(x))::BIGINT AS n_chars FROM p WHERE x <> '' GROUP BY doc_id""",
+    "paragraph_spans": q.spans(rf"(\n{q.SPACE}*\n)", r"\1"),
+    "sentence_spans": q.spans(rf"([.!?])({q.SPACE})", r"\2", r"\1"),
 }

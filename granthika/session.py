@@ -137,6 +137,15 @@ def broadcast_within(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> Dat
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0) <= max_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores where its scan has fewer tasks than that; large tables have more and stay as they are.
+
+    For work that is much dearer than a shuffle of its input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """``df``, whose column expressions the optimizer can't copy into each place that uses them.
 

@@ -87,3 +87,21 @@ def test_sections_and_null(spark):
     assert [(r.document_id, r.content, r.section_id) for r in out] == [
         ("d", "one two three four.", "S1"), ("d", "five six seven.", "S2"), ("lost", "one two three", None), ("lost", "three four five six", None), ("small", "one", None),
     ]
+
+
+def test_tokenizer_and_long_text(spark):
+    import time
+
+    letters = lambda t: [(i, i + 1) for i, c in enumerate(t) if c != " "]
+    df = spark.createDataFrame([("a", "abcd efgh ij", 1), ("b", "ab", 2), ("n", None, 3), ("e", "", 4)], "document_id string, content string, n_tokens int")
+    got = [(r.chunk_id, r.content, r.n_tokens) for r in chunk(df, ChunkingConfig(4, 5, 1), tokenizer=letters).orderBy("document_id", "chunk_index").collect()]
+    assert got == [("a:0", "abcd", 4), ("a:1", "d efgh", 5), ("a:2", "h ij", 3), ("b:0", "ab", 2), ("e:0", "", 0)]
+    # Ten times the text takes about ten times the time, not a hundred times.
+    took = []
+    for n in (2_000, 20_000):
+        one = spark.createDataFrame([("x", "Some words stand here, and one more sentence. " * n)], "document_id string, content string")
+        chunk(one).count()
+        began = time.time()
+        assert chunk(one).count() > n / 100
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 1
