@@ -37,12 +37,19 @@ def one_spaced(text: Column) -> Column:
     return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
+# Marks that an extraction leaves, and characters that nobody sees.
+MARKS, UNSEEN = r"\[\s*/?\s*(?i:table|image)\s*\]", r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]"
+_ALONG = r"[ \t\f\x0B\xA0]"
+
+
 def clean_block(text: Column) -> Column:
-    """Extraction marks and invisible characters removed, horizontal space single, at most one blank line."""
-    out = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(" ")), r"(?i)\[\s*/?\s*(?:TABLE|IMAGE)\s*\]", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""), r"\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\f\x0B]+", " "), r" *\n *", "\n")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    """Extraction marks and invisible characters removed, horizontal space single, at most one blank line.
+
+    Space around line ends goes with them, so the run of line ends that is left is a run of blank lines.
+    """
+    seen = F.regexp_replace(text, rf"{MARKS}|{UNSEEN}", "")
+    lines = F.regexp_replace(seen, rf"{_ALONG}*(?:\r\n?|\n){_ALONG}*", "\n")
+    return strip(F.regexp_replace(F.regexp_replace(lines, rf"{_ALONG}+", " "), r"\n{3,}", "\n\n"))
 
 
 def clean_web(text: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.functions import ids, text, urls
+from granthika.functions import dates, ids, text, urls
 from granthika.operators import analytics, chunking, html, sections
 from granthika.operators.dedup import first_texts, last_by
 from granthika.operators.documents import SECTION_SEPARATOR, parse_object
@@ -174,27 +174,47 @@ def release_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written out of the releases' sections, with chrome around the article."""
-    s = F.col("s")
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    body = F.transform(s, lambda x: F.concat(F.coalesce(F.concat(F.lit("<h2>"), esc(x["heading"]), F.lit("</h2>")), F.lit("")), F.lit("<p>"), F.replace(esc(x["content"]), F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>")))
-    page = F.concat(F.lit("<html><body><nav><a href='/'>Home</a></nav><div class='content'><p>Posted On: "), F.coalesce("published_at", F.lit("-")), F.lit(" by PIB</p><p>Release ID: "), F.col("release_id"), F.lit("</p>"), F.array_join(body, ""), F.lit("</div><footer>All rights reserved</footer></body></html>"))
-    parsed = table(spark, sf_dir, "pib_releases").select("id", "document_id", "release_id", "published_at", parse_object(F.col("content_json"), CONTENT_JSON)["sections"].alias("s"))
-    rows = computed_once(parsed.where("s is not null and document_id is not null")).select("id", "document_id", page.alias("html"))
-    return last_by(rows, ["document_id"], ["id"])
+    """Pages written out of the releases' sections, with chrome around the article, and what an index says of each."""
+    plain = {"&": "&amp;", "<": "&lt;", ">": "&gt;"}
+
+    def element(tag: str, *inner: Column) -> Column:
+        told = F.concat(*inner)
+        for mark, entity in plain.items():
+            told = F.replace(told, F.lit(mark), F.lit(entity))
+        return F.coalesce(F.concat(F.lit(f"<{tag}>"), told, F.lit(f"</{tag}>")), F.lit(""))
+
+    body = F.transform("s", lambda x: F.concat(element("h2", x["heading"]), F.replace(element("p", x["content"]), F.lit("\n\n"), F.lit("</p><p>"))))
+    head = (element("p", F.col("organization")), element("h1", F.col("title")), element("p", F.lit("Posted On: "), F.coalesce("published_at", F.lit("-")), F.lit(" by PIB")), element("p", F.lit("Release ID: "), F.col("release_id")))
+    page = F.concat(F.lit("<html><body><nav><a href='/'>Home</a></nav><div class='content'>"), *head, F.array_join(body, ""), F.lit("</div><footer>All rights reserved</footer></body></html>"))
+    own = ("id", "document_id", "release_id", "title", "url", "organization", "published_at")
+    parsed = spread(table(spark, sf_dir, "pib_releases").select(*own, "content_json")).select(*own, parse_object(F.col("content_json"), CONTENT_JSON)["sections"].alias("s"))
+    rows = computed_once(parsed.where("s is not null and document_id is not null")).select("id", F.col("document_id").alias("page_id"), "release_id", "title", "url", "published_at", page.alias("html"))
+    return last_by(rows, ["page_id"], ["id"]).drop("id")
+
+
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content blocks of each page: how many, and a hash of them in their order."""
+    blocks = html.parse_blocks(_pages(spark, sf_dir), "page_id")
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n--\n")
+    return blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.md5(F.encode(texts, "UTF-8")).alias("blocks_md5"))
 
 
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    blocks = materialise(html.parse_blocks(pages.select("document_id", "html"), "document_id"), "blocks")
-    found = sections.infer_sections(blocks, "document_id").join(sections.has_tables(blocks, "document_id"), "document_id")
-    return found.select("document_id", "section_no", "has_tables", "section_id", "heading", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+    blocks = materialise(html.parse_blocks(_pages(spark, sf_dir), "page_id"), "blocks")
+    found = sections.infer_sections(blocks, "page_id").join(sections.has_tables(blocks, "page_id"), "page_id")
+    return found.select("page_id", "section_no", "has_tables", "section_id", "heading", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a page, by what the page says and else the index."""
+    d = html.page_documents(_pages(spark, sf_dir), "page_id")
+    return d.select("page_id", "document_id", "release_id", "title", "url", dates.iso_utc(F.col("published_at")).alias("published_at"), "organization", "language", "has_tables", F.size("sections").alias("n_sections"))
 
 
 QUERIES = {f.__name__: f for f in (
     corpus_distribution, word_thresholds, top_largest, short_documents, exact_duplicate_groups, repeated_paragraphs, table_like_text, replacement_characters, empty_sections,
     corpus_report, script_language, clean_blocks, clean_web_text, clean_social_text, clean_scanned_text, entity_extract, url_hosts, release_urls, content_hashes, point_ids,
-    important_text, heading_lines, first_occurrence_lines, paragraph_spans, sentence_spans, document_chunks, release_chunks, html_sections,
+    important_text, heading_lines, first_occurrence_lines, paragraph_spans, sentence_spans, document_chunks, release_chunks, html_blocks, html_sections, page_documents,
 )}
 
 _M = f"(SELECT doc_id, length(coalesce(text,'')) AS character_count, {q.words("coalesce(text,'')")} AS word_count FROM documents)"
@@ -211,7 +231,16 @@ for _c in ("character_count", "word_count"):
     _MEASURES |= {f"{_c}_min": f"min({_c})", f"{_c}_mean": f"avg({_c})", f"{_c}_max": f"max({_c})"} | {f"{_c}_p{round(p * 100)}": f"quantile_cont({_c}, {p})" for p in (0.5, 0.9, 0.95, 0.99)}
 _MEASURES |= {f"words_over_{t}": f"count(*) FILTER (word_count > {t})" for t in analytics.WORD_THRESHOLDS}
 
+_PAGE = """SELECT document_id, list_concat([organization, title, 'Posted On: ' || coalesce(published_at, '-') || ' by PIB', 'Release ID: ' || release_id],
+    flatten(list_transform(json_transform(content_json, '{"sections":[{"heading":"VARCHAR","content":"VARCHAR"}]}').sections, lambda x: CASE WHEN x.content IS NULL THEN [] ELSE list_concat([x.heading], string_split(x.content, chr(10) || chr(10))) END))) AS texts
+    FROM pib_releases WHERE json_valid(content_json) AND document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY id DESC) = 1"""
+_LOW = f"lower({q.one_spaced('t')})"
+
 ORACLE = {
+    "html_blocks": rf"""WITH p AS ({_PAGE}), b AS (SELECT document_id, {q.clean_block('x')} AS t, i FROM (SELECT document_id, unnest(texts) AS x, generate_subscripts(texts, 1) AS i FROM p)),
+        k AS (SELECT * FROM b WHERE t <> '' AND NOT regexp_matches({_LOW}, '^release\s+id\s*:\s*\d+$|^posted\s+on\s*:\s*.+\s+by\s+pib$') AND {_LOW} NOT IN ('government of india', 'press information bureau', 'press information bureau government of india')
+        QUALIFY row_number() OVER (PARTITION BY document_id, {_LOW} ORDER BY i) = 1)
+        SELECT document_id AS page_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || '--' || chr(10) ORDER BY i)) AS blocks_md5 FROM k GROUP BY document_id""",
     "corpus_distribution": f"SELECT measure, {_DIST} FROM (SELECT 'character_count' AS measure, character_count AS v FROM {_M} UNION ALL SELECT 'word_count', word_count FROM {_M}) GROUP BY measure",
     "word_thresholds": f"SELECT t::INTEGER AS threshold, count(*) FILTER (word_count > t) AS n_over, round(100.0 * count(*) FILTER (word_count > t) / count(*), 4) AS percent FROM {_M}, (SELECT unnest([500, 750, 1000, 1500, 2000]) AS t) GROUP BY t",
     "top_largest": f"SELECT doc_id, character_count, word_count FROM {_M} ORDER BY character_count DESC, doc_id LIMIT 10",

@@ -68,8 +68,7 @@ def release_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.concat(F.lit("<a href='"), F.col("url"), F.lit("'>"), F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a>"))
     pages = r.select(F.floor(F.col("id") / 50).alias("page"), F.struct("id", link.alias("a")).alias("x")).groupBy("page").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     found = html.anchors(pages.select("page", F.array_join(F.transform("xs", lambda x: x["a"]), "\n").alias("html")), "page")
-    named = found.withColumn("release_number", release_number(F.coalesce("href", "onclick"))).where("release_number is not null")
-    return dedup.last_by(named.select("release_number", "page", "pos", F.col("text").alias("title")), ["release_number"], ["page", "pos"]).select("release_number", "title")
+    return html.release_links(found, "page", "https://pib.example/PressReleasePage.aspx?PRID=", "pib.example").select("release_number", "url", "title")
 
 
 def best_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,15 +215,16 @@ ORACLE = {
         CASE WHEN NOT coalesce(regexp_matches(url, '(?i)^https?://'), false) THEN 'url' END, CASE WHEN {_BLANK('retrieved_at')} THEN 'retrieved_at' END, CASE WHEN NOT coalesce(regexp_matches(language, {_TAG}), false) THEN 'language' END) AS errors
         FROM (SELECT record_no, doc_id, CASE WHEN w.source.source_type = 'social_media' THEN 'social_media_post' ELSE w.source.source_type END AS t, w.source.source_url AS url, w.source.organization AS publisher, w.source.author_name AS author,
         w.metadata.language AS language, w.dates.retrieved_at AS retrieved_at, w.content.clean_text AS content FROM webscraper_output w)""",
-    "release_links": r"""SELECT regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) AS release_number, coalesce(title, '') AS title FROM pib_releases WHERE regexp_matches(url, '(?i)PRID\s*=\s*\d+')
+    "release_links": r"""SELECT regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) AS release_number, CASE WHEN regexp_matches(url, '^(?i)https?://') THEN url ELSE 'https://pib.example/PressReleasePage.aspx?PRID=' || regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) END AS url,
+        coalesce(title, '') AS title FROM pib_releases WHERE regexp_matches(url, '(?i)PRID\s*=\s*\d+') AND (contains(lower(url), 'pib.example') OR NOT regexp_matches(url, '^(?i)https?://'))
         QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) ORDER BY id DESC) = 1""",
     "best_fetches": """WITH w AS (SELECT doc_id, record_no, coalesce(length(x.content.clean_text), 0) AS n_chars FROM webscraper_output x WHERE doc_id IS NOT NULL),
         t AS (SELECT *, coalesce(max((n_chars >= 400)::INTEGER) OVER (PARTITION BY doc_id ORDER BY record_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM w)
         SELECT doc_id, record_no, n_chars FROM t WHERE stopped = 0 AND n_chars > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY least(n_chars, 500) DESC, record_no) = 1""",
     "missing_metadata_keys": f"SELECT id, array_to_string(list_sort(list_filter({META_KEYS}, lambda k: NOT list_contains(CASE WHEN json_valid(metadata_json) THEN json_keys(metadata_json) ELSE [] END, k))), ',') AS missing FROM pib_releases",
-    "release_dates": rf"""WITH v AS (SELECT id, regexp_replace({q.one_spaced(rf"coalesce(nullif({q.one_spaced(r"regexp_extract(published_at, '(?i)Posted\s+On\s*:\s*(.*?)\s+by\s+PIB(?:\s|$)', 1)")}, ''), published_at)")}, '(?i)(\d)(AM|PM)\b', '\1 \2', 'g') AS v FROM pib_releases),
+    "release_dates": rf"""WITH v AS (SELECT id, regexp_replace({q.one_spaced(rf"coalesce(nullif({q.one_spaced(r"regexp_extract(published_at, '(?i)posted\s+on\s*[:-][ \t]*([^\n]*?)\s+by\s+pib\b', 1)")}, ''), published_at)")}, '(?i)(\d)(AM|PM)\b', '\1 \2', 'g') AS v FROM pib_releases),
         p AS (SELECT id, CASE WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]?[\d:.]*(Z|[+-]\d{{2}}:?\d{{2}})$') THEN try_cast(v AS TIMESTAMPTZ)::TIMESTAMP ELSE
-        coalesce(CASE WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?)?$') THEN try_cast(v AS TIMESTAMP) END, try_strptime(v, [{_FORMATS}]), try_strptime(nullif(regexp_extract(v, '(?i)(\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}(?:\s+\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\s*[AP]M)?)?)', 1), ''), [{_FORMATS}])) - INTERVAL 330 MINUTE END AS t FROM v)
+        coalesce(CASE WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?)?$') THEN try_cast(v AS TIMESTAMP) END, try_strptime(v, [{_FORMATS}]), try_strptime(nullif(regexp_extract(v, '(\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}( \d{{1,2}}:\d{{1,2}}(:\d{{1,2}})?( [AaPp][Mm])?)?)', 1), ''), [{_FORMATS}])) - INTERVAL 330 MINUTE END AS t FROM v)
         SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS instant FROM p""",
     "social_dates": r"SELECT record_no, strftime(strptime(trim(p, ' ' || chr(10)), '%a %b %d %H:%M:%S %z %Y') AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS instant FROM (SELECT record_no, w.dates.published_at AS p FROM webscraper_output w) WHERE regexp_matches(p, '^[A-Z][a-z]{2} [A-Z][a-z]{2} \d{2} ')",
     "release_insert_or_ignore": f"SELECT id, release_id, document_id FROM {_FIRST('SELECT id, release_id, document_id FROM pib_releases')}",

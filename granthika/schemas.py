@@ -14,4 +14,5 @@ CLAIM = """query_id long, raw_text string, query string, keywords array<string>,
 BLOCKS = "array<struct<name:string,text:string,is_table:boolean>>"
 # The kinds of source a document can have.
 SOURCE_TYPES = ("government_document", "news_article", "web_page", "social_media_post", "report", "other")
-LANGUAGE_TAG = r"^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$"
+# Fixed value: the form of a language tag.
+LANGUAGE_TAG = r"^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*\z"

@@ -129,29 +129,28 @@ def row_bytes(df: DataFrame) -> Column:
     return size
 
 
-def fits(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """True if the rows of ``df``, measured by one aggregate, take at most ``max_bytes``."""
-    return (df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0) <= max_bytes
+def measured(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take, about, by one aggregate."""
+    return df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0
 
 
 def broadcast_within(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Hints a broadcast only where ``df`` fits.
+    """Hints a broadcast only where ``df`` has been measured and is within the bound.
 
     Beyond the bound the side is returned as it is, and Spark joins it by shuffle.
     """
-    return F.broadcast(df) if fits(df, max_bytes) else df
+    return F.broadcast(df) if measured(df) <= max_bytes else df
 
 
-def only(rows: DataFrame, key: str, wanted: DataFrame, others: DataFrame) -> DataFrame:
+def only(rows: DataFrame, key: str, wanted: DataFrame, others: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``rows`` whose ``key`` is in ``wanted`` and so not in ``others``; between them they hold every key.
 
-    Wide rows stay where they are if either side fits a broadcast; else they are shuffled once.
+    Wide rows stay where they are if the smaller side is within the bound of a broadcast; else they are shuffled once.
     """
-    if fits(wanted):
-        return rows.join(F.broadcast(wanted), key, "left_semi")
-    if fits(others):
-        return rows.join(F.broadcast(others), key, "left_anti")
-    return rows.join(wanted, key, "left_semi")
+    a, b = measured(wanted), measured(others)
+    if min(a, b) > max_bytes:
+        return rows.join(wanted, key, "left_semi")
+    return rows.join(F.broadcast(wanted), key, "left_semi") if a <= b else rows.join(F.broadcast(others), key, "left_anti")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def test_html_to_sections(spark):
     assert [tuple(s)[2:] for s in out] == [("D-S01", "Title", "First bold\n\nSecond"), ("D-S02", "Background", "• x\n• y\n\n1. p\n3. q"), ("D-S03", "Details", "a | b")]
     assert [tuple(r) for r in sections.has_tables(blocks, "id").collect()] == [(1, True)] and html.titles(blocks, "id").first().title == "Title"
     assert sections.infer_sections(html.parse_blocks(df.limit(0), "id"), "id").count() == 0
+    whole = page.replace("12", " 77 ").replace("<article>", "<article><p>Ministry of X</p><p>Posted On: 4 March 2024 1:05PM by PIB Town</p>") + "long text " * 40
+    bare = "<div>posted on: never. release id : none " + "x " * 200 + "</div>"
+    index = [("a", whole.replace("</article>", "<p>" + "long text " * 40 + "</p></article>"), "u", "1", "T", None), ("b", bare, "v", "2", "Given", "05-03-2024"), ("c", "", "w", "3", None, None), (None, bare, "v", "2", None, None)]
+    made = {r.k: r for r in html.page_documents(spark.createDataFrame(index, "k string, html string, url string, release_id string, title string, published_at string"), "k").collect()}
+    assert set(made) == {"a", "b"} and (made["a"].document_id, made["a"].title, made["a"].organization, str(made["a"].published_at)) == ("PIB-77", "Title", "Ministry of X", "2024-03-04 07:35:00")
+    assert (made["b"].document_id, made["b"].title, made["b"].organization, str(made["b"].published_at)[:10]) == ("PIB-2", "Given", "Press Information Bureau", "2024-03-04")
+    assert made["a"].has_tables and [s.section_id for s in made["b"].sections] == ["PIB-2-S01"] and made["b"].sections[0].heading == "Main Content"
+    nested = "<article><table><tr><td>a<table><tr><td>in</td></tr></table></td><td> b </td></tr></table></article>"
+    assert [r.text for r in html.parse_blocks(spark.createDataFrame([(1, nested)], "id long, html string"), "id", markers=()).collect()] == ["a | b\nin"]
+    kind = "page long, pos int, href string, onclick string, text string"
+    found = [(1, 0, "https://h.example/x?PRID=5", None, "old"), (1, 1, "/x?prid=5", None, "new"), (2, 0, None, "open('PRID = 6')", "six"), (2, 1, "https://other.example?PRID=7", None, "x"), (2, 2, "#", None, None)]
+    assert sorted(tuple(r) for r in html.release_links(spark.createDataFrame(found, kind), "page", "https://h.example/?PRID=", "h.example").collect()) == [("5", "https://h.example/?PRID=5", "new"), ("6", "https://h.example/?PRID=6", "six")]
     links = html.anchors(spark.createDataFrame([(1, '<a href="/x?PRID=5">t<b>u</b></a><a onclick="go(6)">v</a>')], "id long, html string"), "id").orderBy("pos").collect()
     assert [(r.href, r.onclick, r.text) for r in links] == [("/x?PRID=5", None, "tu"), (None, "go(6)", "v")]
 
@@ -106,9 +118,14 @@ def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "Solar pumps for farms"), (2, "solar solar"), (3, None), (4, "")], "item_id long, text string")
     claims = spark.createDataFrame([(7, ["solar", "pumps"]), (8, [" ", "none"]), (9, None)], "query_id long, keywords array<string>")
     assert [(r.query_id, r.item_id, r.score) for r in retrieval.relevance(docs, claims).orderBy("item_id").collect()] == [(7, 1, 6), (7, 2, 2)]
-    tokens = retrieval.token_weights(docs, "item_id", "text")
+    hindi = spark.createDataFrame([(1, "सौर पंप योजना, c++-pumps"), (2, "सौरपंप"), (3, "solar\u00a0 pumps!"), (4, "solar, pumps solar_pumps")], "item_id long, text string")
+    asked = spark.createDataFrame([(7, ["सौर", "पंप"]), (8, ["solar pumps", "C++"]), (9, ["++", "Solar"])], "query_id long, keywords array<string>")
+    assert sorted((r.query_id, r.item_id, r.score) for r in retrieval.relevance(hindi, asked).collect()) == [(7, 1, 6), (8, 1, 1), (8, 3, 2), (9, 3, 1), (9, 4, 1)]
+    assert sorted((r.query_id, r.item_id) for r in retrieval.relevance(hindi, asked, least=2).collect()) == [(7, 1), (8, 3)]
+    assert retrieval.relevance(hindi.limit(0), asked).count() == retrieval.relevance(hindi, asked.limit(0)).count() == 0
+    assert {(r.query_id, r.token, r.weight) for r in retrieval.token_weights(claims.selectExpr("query_id", "keywords[0] as text"), "query_id", "text").collect()} == {(7, "solar", 1.0)}
     query = spark.createDataFrame([(7, "solar", 1.0)], "query_id long, token string, weight double")
-    sparse = retrieval.sparse_top(tokens, query, 5)
+    sparse = retrieval.sparse_top(docs, query, 5)
     assert [(r.item_id, r.score) for r in sparse.orderBy("rank").collect()] == [(2, 2.0), (1, 1.0)]
     assert retrieval.fuse([sparse, sparse]).count() == 2
     assert retrieval.hybrid(docs, spark.createDataFrame([(7, "solar pumps")], "query_id long, text string"), "text").first().item_id == 1

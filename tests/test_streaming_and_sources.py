@@ -46,3 +46,30 @@ def test_readers_and_writers(spark, tmp_path):
     writers.write_csv(spark.createDataFrame([(1,)], "a int"), f"{tmp_path}/c")
     writers.write_text(spark.createDataFrame([("x",)], "text string"), f"{tmp_path}/t")
     assert spark.read.json(f"{tmp_path}/j").first().a == 1 and spark.read.text(f"{tmp_path}/t").first()[0] == "x"
+
+
+def test_rows_kept_by_either_side(spark):
+    from granthika import session
+
+    rows = spark.range(10)
+    for bound in (1 << 20, 0):
+        for cut in (2, 7):
+            kept = session.only(rows, "id", rows.where(f"id > {cut}"), rows.where(f"id <= {cut}"), bound)
+            assert sorted(r.id for r in kept.collect()) == list(range(cut + 1, 10))
+
+
+def test_stored_tables_and_scratch(spark, tmp_path):
+    from granthika import session
+
+    built = []
+    make = lambda: built.append(1) or spark.range(3)
+    mark = session.uuid.uuid4().hex
+    assert session.stored(spark, "t", mark, make).count() == session.stored(spark, "t", mark, make).count() == 3 and len(built) == 1
+    spark.range(4).write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    before = session.fingerprint(a, "x")
+    assert before == session.fingerprint(a, "x") != session.fingerprint(a, "y")
+    spark.range(1).write.mode("append").parquet(f"{tmp_path}/a")
+    assert before != session.fingerprint(spark.read.parquet(f"{tmp_path}/a"), "x")
+    kept = session.materialise(spark.range(2), "gone")
+    assert kept.count() == 2 and session.clear_scratch() > 0 and session.read_if_there(spark, kept.inputFiles()[0].rpartition("/")[0]) is None
