@@ -58,17 +58,21 @@ def p1_document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Problem 3: token budget per source and language
 
 
-def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_key, slice and text of the releases (one a release) and of the documents."""
-    filed = releases.latest_releases(table(spark, sf_dir, "pib_releases")).select(
+def _budget_releases(rows: DataFrame) -> DataFrame:
+    """doc_key, slice and text of releases, one a release."""
+    return releases.latest_releases(rows).select(
         F.concat(F.lit("release:"), F.coalesce("release_id", F.col("id").cast("string"))).alias("doc_key"), F.lit("pib_releases").alias("table_name"),
         F.coalesce(host(F.col("url")), F.lower("source")).alias("source"), tokens.language_slice(F.col("language")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
     )
+
+
+def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the releases and of the documents."""
     documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc_key"), F.lit("documents").alias("table_name"),
         F.lower("source").alias("source"), tokens.language_slice(F.col("lang")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
     )
-    return filed.unionByName(documents)
+    return _budget_releases(table(spark, sf_dir, "pib_releases")).unionByName(documents)
 
 
 def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +81,15 @@ def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_after_new_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same totals reached in two steps: the first crawls, then deltas to the latest ones."""
-    ledger = tokens.TokenLedger.fresh(spark)
-    documents = _budget_documents(spark, sf_dir)
-    releases_ = table(spark, sf_dir, "pib_releases")
-    first = releases_.join(releases_.groupBy("release_id").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
-    before = releases.latest_releases(first).select(
-        F.concat(F.lit("release:"), F.coalesce("release_id", F.col("id").cast("string"))).alias("doc_key"), F.lit("pib_releases").alias("table_name"),
-        F.coalesce(host(F.col("url")), F.lower("source")).alias("source"), tokens.language_slice(F.col("language")).alias("language"), tokens.organization_slice(F.col("organization")).alias("organization"), "text",
-    )
-    ledger.update(before)
-    return tokens.totals(ledger.update(documents))
+    """The same totals reached in two steps: the first crawls, then deltas to the latest ones by a ledger opened anew."""
+    ledger, crawls = tokens.TokenLedger.fresh(spark), table(spark, sf_dir, "pib_releases")
+    ledger.update(_budget_releases(crawls.join(crawls.groupBy("release_id").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")))
+    return tokens.totals(tokens.TokenLedger(spark, ledger.path).update(_budget_documents(spark, sf_dir)))
+
+
+def p3_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each slice of the documents table, with and without text."""
+    return p3_token_budget(spark, sf_dir).where("table_name = 'documents'").select("level", "source", "language", "organization", "n_documents", "n_with_text")
 
 
 # Problem 6: filling fixed-capacity containers
@@ -208,6 +210,7 @@ def p8_rate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_token_budget": p3_token_budget,
     "p3_after_new_crawl": p3_after_new_crawl,
+    "p3_document_counts": p3_document_counts,
     "p6_packing": p6_packing,
     "p6_fill_report": p6_fill_report,
     "p1_found": p1_found,
@@ -257,7 +260,19 @@ def _grams(source: str, key: str, text: str) -> str:
 
 _LEAKS = f"(SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id', 'text')} JOIN {_grams('eval_items', 'item_id', 'item_text')} USING (gram))"
 
+_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in language.NOTATIONS.items()) + "}"
+_NONE = ", ".join(f"'{x}'" for x in language.NO_LANGUAGE)
+_LANG = rf"""coalesce(nullif(array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(string_split_regex(lower(coalesce(lang, '')), '[,;+]'),
+    lambda x: regexp_replace(trim(x), '[-_].*$', '')), lambda x: x NOT IN ({_NONE})), lambda x: coalesce(map_extract({_KNOWN}, x)[1], x)))), '+'), ''), 'unknown')"""
+_ORG = r"lower(regexp_replace(trim(regexp_replace(organization, '[\s\p{Z}]+', ' ', 'g')), '^(?i)www\.', ''))"
+for _short, _full in tokens.SHORT_FORMS:
+    _ORG = f"regexp_replace({_ORG}, '{_short}', '{_full}', 'g')"
+_ORG = f"coalesce(nullif(regexp_replace({_ORG}, '^the ', ''), ''), 'unknown')"
+
 ORACLE: dict[str, str] = {
+    "p3_document_counts": f"""SELECT CASE WHEN grouping(s, l, o) = 0 THEN 'cell' WHEN grouping(s) = 0 THEN 'source' WHEN grouping(l) = 0 THEN 'language' WHEN grouping(o) = 0 THEN 'organization' ELSE 'table' END AS level,
+        coalesce(s, 'all') AS source, coalesce(l, 'all') AS language, coalesce(o, 'all') AS organization, count(*) AS n_documents, count(text) AS n_with_text
+        FROM (SELECT coalesce(lower(source), 'unknown') AS s, {_LANG} AS l, {_ORG} AS o, text FROM documents) GROUP BY GROUPING SETS ((s, l, o), (s), (l), (o), ())""",
     "p4_found": f"SELECT record_no, line_no FROM {_LINES} JOIN {_CONFIRMED} USING (org, form)",
     "p4_repeated_lines": f"SELECT org, form AS line_form, n_docs, site_docs FROM {_CONFIRMED}",
     "p4_cleaned_pages": f"""SELECT record_no, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (hit IS NULL), '') AS cleaned_text, count(hit)::INTEGER AS lines_removed

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granthika.session import materialise, only
+
 CONTENT = "sections array<struct<section_id:string,heading:string,content:string>>, _broken string"
 
 
@@ -26,18 +28,16 @@ def salvaged_sections(content_json: Column) -> Column:
 
 
 def latest_releases(rows: DataFrame) -> DataFrame:
-    """One row a release: of its crawls, one with whole JSON if there is any, then the latest (highest id).
+    """One row a release: of its crawls, one whose JSON is whole if there is any, then the latest (highest id).
 
-    Adds ``text``: all section contents, salvaged where the JSON is cut off. Rows without release_id stand for themselves.
+    Adds ``text``: all section contents, salvaged where the JSON is cut off. Rows without release_id stand for themselves,
+    rows without id don't count. Which crawls stay is decided on ids alone; texts are shuffled only if too many fall away.
     """
-    parsed = with_sections(rows)
+    rows = rows.where(F.col("id").isNotNull())
     key = F.coalesce(F.concat(F.lit("r"), "release_id"), F.concat(F.lit("i"), F.col("id").cast("string")))
+    crawls = with_sections(rows).select(key.alias("_key"), "id", F.col("sections").isNotNull().alias("_whole"))
+    best = materialise(crawls.groupBy("_key").agg(F.max(F.struct("_whole", "id"))["id"].alias("id")).select("id"), "latest")
+    rest = materialise(rows.select("id").join(best, "id", "left_anti"), "superseded")
     salvage = F.array_join(F.filter(salvaged_sections(F.col("content_json")), lambda x: x.isNotNull()), "\n")
     text = F.when(F.col("sections").isNotNull(), text_of(F.col("sections"))).otherwise(salvage)
-    best = rows.select(key.alias("_key"), "id", with_flag().alias("_whole")).groupBy("_key").agg(F.max(F.struct("_whole", "id"))["id"].alias("id"))
-    return parsed.withColumn("text", F.nullif(text, F.lit(""))).join(best.select("id"), "id", "left_semi")
-
-
-def with_flag() -> Column:
-    """True if content_json is whole: it ends its object."""
-    return F.coalesce(F.col("content_json").rlike(r"\}\s*$"), F.lit(False))
+    return with_sections(only(rows, "id", best, rest)).withColumn("text", F.nullif(text, F.lit("")))

@@ -69,9 +69,10 @@ def test_ledger_follows_changes(spark):
 
 
 def test_totals_and_spellings(spark):
-    rows = [("a", "t", "s", "en", "o", "x", None), ("b", "t", "r", "hi", "o", "y", None)]
-    t = {tuple(r)[:4]: r.n_documents for r in tokens.totals(tokens.TokenLedger.fresh(spark).update(spark.createDataFrame(rows, DOC))).collect()}
+    rows = [("a", "t", "s", "en", "o", "x", None), ("b", "t", "r", "hi", "o", "y", None), ("c", "u", "all", "all", "all", "y", None)]
+    t = {tuple(r)[1:5] if r.table_name == "t" else tuple(r)[:5]: r.n_documents for r in tokens.totals(tokens.TokenLedger.fresh(spark).update(spark.createDataFrame(rows, DOC))).collect()}
     assert t[("t", "all", "all", "o")] == 2 and t[("t", "s", "all", "all")] == 1 and t[("t", "all", "all", "all")] == 2
+    assert {k[0] for k in t if k[1] == "u"} == {"cell", "source", "language", "organization", "table"}
     names = spark.createDataFrame([("MINISTRY OF SOIL & SEEDS ",), ("Min. of Soil and Seeds",), ("Deptt. of X",), ("www.A.example",), (" ",), (None,)], "x string")
     assert [r[0] for r in names.select(tokens.organization_slice(names.x)).collect()] == ["ministry of soil and seeds"] * 2 + ["department of x", "a.example", None, None]
 
@@ -81,6 +82,29 @@ def test_broken_json_is_salvaged(spark):
 
     whole = '{"sections": [{"section_id": "s", "content": "one \\"two\\"\\nthree"}, {"content": "four"}]}'
     kind = "id long, release_id string, content_json string, text string"
-    rows = [(1, "r", whole, None), (2, "r", whole[:40], None), (3, "q", whole[: whole.index('"}')], None), (4, None, "no json", None), (5, None, None, None)]
+    rows = [(1, "r", whole, None), (2, "r", whole[:40], None), (3, "q", whole[: whole.index('"}')], None), (4, None, "no json", None), (5, None, None, None), (6, "s", whole, None), (7, "s", whole[: whole.index("}") + 1], None), (None, "z", whole, None)]
     got = {r.id: r.text for r in releases.latest_releases(spark.createDataFrame(rows, kind)).collect()}
-    assert got == {1: 'one "two"\nthree\nfour', 3: 'one "two"\nthree', 4: None, 5: None}
+    assert got == {1: 'one "two"\nthree\nfour', 3: 'one "two"\nthree', 4: None, 5: None, 6: 'one "two"\nthree\nfour'}
+
+
+def test_ledger_in_another_process(spark, tmp_path):
+    """A second process goes on from the stored version; a broken update leaves no trace in the cube."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    one = [(k, "t", "s", "en", "o", x, None) for k, x in (("a", "hello"), ("b", "hello"), ("c", "gone soon"))]
+    two = [("a", "t", "s", "en", "o", "hello there", None), ("b", "t", "s", "en", "o", "hello", None)]
+    path = f"{tmp_path}/ledger"
+    ledger = tokens.TokenLedger(spark, path)
+    ledger.update(spark.createDataFrame(one, DOC))
+    spark.createDataFrame([("x",)], "wrong string").write.parquet(f"{path}/snapshot-2")
+    code = f"""
+from pyspark.sql import SparkSession
+from granthika.llm import tokens
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+tokens.TokenLedger(s, {path!r}).update(s.createDataFrame({two!r}, {DOC!r}))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert ledger.version == 2 and cells(ledger.cube()) == cells(tokens.TokenLedger.fresh(spark).update(spark.createDataFrame(two, DOC)))
+    assert ledger.counts().count() == 3
