@@ -159,8 +159,7 @@ def p5_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = leakage.item_words(table(spark, sf_dir, "eval_items"))
-    return leakage.aligned_words(leakage.build_index(table(spark, sf_dir, "documents"), words), words)
+    return leakage.aligned_words(leakage.build_index(table(spark, sf_dir, "documents")), leakage.item_words(table(spark, sf_dir, "eval_items")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +168,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold most of a phrase's words, with small gaps or insertions."""
-    words = leakage.item_words(table(spark, sf_dir, "eval_items"))
-    return leakage.near_matches(table(spark, sf_dir, "documents"), words)
+    return leakage.near_matches(leakage.build_index(table(spark, sf_dir, "documents")), leakage.item_words(table(spark, sf_dir, "eval_items")))
 
 
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,12 +251,12 @@ _CLEAN = r"regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$', '',
 
 
 def _grams(source: str, key: str, text: str) -> str:
-    """Every twelve words in a row of each text, as one string."""
+    """Every twelve words in a row of each text, as one string, with their place."""
     words = rf"(SELECT {key}, list_filter(list_transform(string_split_regex({text}, '[\s\p{{Z}}\x{{85}}\x1C-\x1F]+'), lambda w: {_CLEAN}), lambda w: w <> '') AS ws FROM {source} WHERE {text} IS NOT NULL)"
-    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i : i + 11], ' '))) AS gram FROM {words})"
+    return f"(SELECT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i : i + 11], ' '))) AS gram, unnest(range(1, len(ws) - 10)) AS {key}_at FROM {words})"
 
 
-_LEAKS = f"(SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id', 'text')} JOIN {_grams('eval_items', 'item_id', 'item_text')} USING (gram))"
+_LEAKS = f"(SELECT DISTINCT doc_id, item_id, doc_id_at - item_id_at AS shift, item_id_at FROM {_grams('documents', 'doc_id', 'text')} JOIN {_grams('eval_items', 'item_id', 'item_text')} USING (gram))"
 
 _KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in language.NOTATIONS.items()) + "}"
 _NONE = ", ".join(f"'{x}'" for x in language.NO_LANGUAGE)
@@ -268,6 +266,8 @@ _ORG = r"lower(regexp_replace(trim(regexp_replace(organization, '[\s\p{Z}]+', '
 for _short, _full in tokens.SHORT_FORMS:
     _ORG = f"regexp_replace({_ORG}, '{_short}', '{_full}', 'g')"
 _ORG = f"coalesce(nullif(regexp_replace({_ORG}, '^the ', ''), ''), 'unknown')"
+# Windows that follow each other at one shift make one run, which has eleven words more than windows.
+_RUNS = f"""(SELECT doc_id, item_id, count(*) + 11 AS run FROM (SELECT *, item_id_at - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_id_at) AS part FROM {_LEAKS}) GROUP BY doc_id, item_id, shift, part)"""
 
 ORACLE: dict[str, str] = {
     "p3_document_counts": f"""SELECT CASE WHEN grouping(s, l, o) = 0 THEN 'cell' WHEN grouping(s) = 0 THEN 'source' WHEN grouping(l) = 0 THEN 'language' WHEN grouping(o) = 0 THEN 'organization' ELSE 'table' END AS level,
@@ -279,5 +279,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT l.record_no, l.line, l.line_no, c.n_docs AS hit FROM {_LINES} l LEFT JOIN {_CONFIRMED} c ON l.org = c.org AND l.form = c.form) GROUP BY record_no
         UNION ALL SELECT record_no, NULL, NULL FROM webscraper_output w WHERE w.content.raw_text IS NULL""",
     "p5_found": f"SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM {_SEEN} a JOIN {_SEEN} b ON a.table_name = b.table_name AND a.face = b.face AND a.row_no < b.row_no AND a.text <> b.text",
-    "p7_found": f"SELECT doc_id, item_id FROM {_LEAKS}",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_LEAKS}",
+    "p7_leaked_items": f"""SELECT e.item_id, e.eval_set, coalesce(n, 0) AS n_documents, coalesce(longest, 0) AS longest_run FROM eval_items e LEFT JOIN
+        (SELECT item_id, count(DISTINCT doc_id) AS n, max(run) AS longest FROM {_RUNS} GROUP BY item_id) USING (item_id)""",
 }

@@ -5,7 +5,7 @@ DOCS, ITEMS = "doc_id long, text string, term string", "item_id long, item_text
 
 def aligned(spark, docs, items, phrase=12):
     words = leakage.item_words(spark.createDataFrame(items, ITEMS))
-    return leakage.aligned_words(leakage.build_index(spark.createDataFrame(docs, DOCS), words), words, phrase)
+    return leakage.aligned_words(leakage.build_index(spark.createDataFrame(docs, DOCS), 50), words, phrase)
 
 
 def brute(docs, items, phrase=12):
@@ -75,8 +75,20 @@ def test_proximity_of_edited_texts(spark, tmp_path):
     assert {(0, 1), (1, 1), (0, 3), (1, 2), (6, 1), (8, 1)} <= expected.keys() and (5, 1) not in expected
     assert {(r.doc_id, r.item_id): r.n_words for r in p7_proximity(spark, str(tmp_path)).collect()} == expected
     words = leakage.item_words(spark.createDataFrame(items, ITEMS))
-    # Long texts in pieces, and bands held without an array.
-    for sizes in ({"piece": 2}, {"dense": 0}):
-        assert {(r.doc_id, r.item_id): r.n_words for r in leakage.near_matches(spark.createDataFrame(docs, DOCS), words, **sizes).collect()} == expected
-    assert leakage.near_matches(spark.createDataFrame([], DOCS), words).count() == 0
-    assert leakage.near_matches(spark.createDataFrame(docs, DOCS), words.limit(0)).count() == 0
+    index, none = leakage.build_index(spark.createDataFrame(docs, DOCS)), leakage.build_index(spark.createDataFrame([], DOCS))
+    # Long texts in pieces, bands held without an array, items in blocks.
+    for sizes in ({"piece": 2}, {"dense": 0}, {"item_words": 30}):
+        assert {(r.doc_id, r.item_id): r.n_words for r in leakage.near_matches(index, words, **sizes).collect()} == expected
+    assert leakage.near_matches(none, words).count() == leakage.near_matches(index, words.limit(0)).count() == 0
+
+
+def test_index_holds_every_word_and_is_reused(spark, tmp_path):
+    docs = [(i, f"One two, two {i}! — x{i % 7}", "t") for i in range(60)] + [(60, None, "t"), (None, "lost", "t")]
+    spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{tmp_path}/d")
+    read = lambda: spark.read.parquet(f"{tmp_path}/d")
+    index = leakage.build_index(read(), 40)
+    got = sorted((d, p, r.term) for r in index.collect() for d, p in zip(r.docs, r.places))
+    assert got == sorted((d, p, w) for d, t, _ in docs if t and d is not None for p, w in enumerate(filter(None, map(leakage.word, t.lower().split()))))
+    assert leakage.build_index(read(), 40).inputFiles() == index.inputFiles()
+    spark.createDataFrame(docs[:1], DOCS).write.mode("append").parquet(f"{tmp_path}/d")
+    assert leakage.build_index(read(), 40).inputFiles() != index.inputFiles()
