@@ -192,13 +192,15 @@ def search_text(keywords: Column) -> Column:
 
 
 def keyword_phrases(queries: DataFrame, query: str = "query_id") -> DataFrame:
-    """query, phrase, weight: each keyword with its weight, and each pair of neighbouring keywords with 3.
+    """query, phrase, weight: each keyword with its weight, and each pair of neighbouring keywords that have words with 3.
 
     Phrases are lower case, with single spaces, and without what isn't a letter, mark, digit or underscore at their ends.
     """
     weighted = queries.select(query, keyword_weights(F.col("keywords")).alias("kw"))
     single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("kw") - 1), lambda i: F.concat(F.get("kw", i - 1)["keyword"], F.lit(" "), F.get("kw", i)["keyword"]))
+    kw = lambda i: F.get("kw", i)["keyword"]
+    said = F.filter(F.sequence(F.lit(1), F.size("kw") - 1), lambda i: kw(i - 1).rlike(f"[{WORD}]") & kw(i).rlike(f"[{WORD}]"))
+    pairs = F.transform(said, lambda i: F.concat(kw(i - 1), F.lit(" "), kw(i)))
     both = single.unionByName(weighted.where(F.size("kw") > 1).select(query, F.explode(pairs).alias("phrase")).withColumn("weight", F.lit(3)))
     plain = F.regexp_replace(F.regexp_replace("phrase", r"[\s\p{Z}]+", " "), rf"^[^{WORD}]+|[^{WORD}]+$", "")
     return both.withColumn("phrase", plain).where("phrase <> ''")

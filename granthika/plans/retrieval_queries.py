@@ -128,7 +128,7 @@ def _sparse_sql(where: str = "true", k: int = 20) -> str:
 
 _KW = "(SELECT query_id, list_filter(list_transform(keywords, lambda k: lower(trim(k))), lambda k: k <> '') AS kw FROM claim_queries)"
 _PHRASES = f"""(SELECT query_id, unnest(kw) AS phrase, len(kw) - generate_subscripts(kw, 1) + 1 AS weight FROM {_KW}
-    UNION ALL SELECT query_id, unnest(list_transform(range(1, len(kw)), lambda i: kw[i] || ' ' || kw[i + 1])), 3 FROM {_KW} WHERE len(kw) > 1)"""
+    UNION ALL SELECT query_id, unnest(list_transform(list_filter(range(1, len(kw)), lambda i: regexp_matches(kw[i], '[{retrieval.WORD}]') AND regexp_matches(kw[i + 1], '[{retrieval.WORD}]')), lambda i: kw[i] || ' ' || kw[i + 1])), 3 FROM {_KW} WHERE len(kw) > 1)"""
 
 
 def _relevance_sql(where: str = "true") -> str:
