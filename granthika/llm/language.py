@@ -8,25 +8,31 @@ Bytes: a character takes one byte, and a shift byte stands before it where its b
 of the previous non-ASCII character of the text; so scripts outside ASCII cost one position a character, not three.
 Look-alike characters are mapped to plain ones, and runs of digits to one.
 
-Sentences repeat within and across documents: the network runs once on each distinct sentence, and its result is joined
-back by the sentence's hash.
+Sentences repeat within and across documents: texts are cut into sentences once, the network reads each distinct sentence
+once and whole, however long, and its result is joined back by the sentence's hash. Sentences on very many pages are few,
+so they are joined by broadcast, and no task gets all rows of one.
 
-Defined results: null text, text without letters and broken JSON have no segments and no language; repeated rows each get
-theirs; a sentence is labelled as a whole text if its row has none that ends like a sentence.
+Position labels also part a sentence where its language changes: the best path over its words, with a price for each change.
+
+Defined results: null text, text without letters and broken JSON have no segments and no language, but keep their row;
+repeated rows each get theirs; a sentence is labelled as a whole text if its row has none that ends like a sentence.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthika.llm import confusables
+from granthika.session import materialise, stored
 
 LANGUAGES = ("en", "hi", "mr", "bn", "ta", "te", "ur")
 # Other notations of the languages above.
@@ -37,10 +43,16 @@ NOTATIONS = {
 NO_LANGUAGE = ("", "mul", "und", "unknown", "n/a", "na", "none", "null", "xx", "zxx", "mis", "-", "?")
 
 HIDDEN = 16
+#: To be raised with every change of the network or its training, so that stored weights aren't used on.
+VERSION = 1
 #: Sentence ends; a shorter piece than so many words is none.
 ENDS, MIN_WORDS = ".!?।۔", 3
-#: Longest stretch the network reads at once; longer sentences are read in pieces and pooled over all of them.
-MAX_BYTES = 512
+#: Positions (rows times longest) that are read together; a longer sentence is read alone.
+TOGETHER = 512 * 512
+#: Price of a change of language inside a sentence; a word's evidence is at most FAINTEST, so a stretch needs three words.
+CHANGE, FAINTEST = 5.0, 4.0
+#: A sentence is joined by broadcast if it makes up more than this share of all; so there are at most so many of them.
+HOT_SHARE = 10_000
 
 
 # Bytes
@@ -122,8 +134,8 @@ def _sorted_rows(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     return forward, backward, inside.sum(axis=1)
 
 
-def position_probabilities(net: BiGru, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities of all positions, row of each position) of rows sorted by length, the longest first."""
+def position_probabilities(net: BiGru, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probabilities of all positions, row and time of each) of rows sorted by length, the longest first."""
     forward, backward, active = _sorted_rows(flat, starts, lengths)
     f, b = net.states(forward, active, 0), net.states(backward, active, 1)
     t = np.arange(forward.shape[0])[:, None]
@@ -133,27 +145,78 @@ def position_probabilities(net: BiGru, flat: np.ndarray, starts: np.ndarray, len
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
-    return logits, row
+    return logits, row, time
 
 
-def pooled(net: BiGru, texts: list[str], rows: int = 512) -> np.ndarray:
-    """Mean probabilities of each text's positions."""
-    flat, bounds = encode(texts)
+def read_positions(net: BiGru, flat: np.ndarray, bounds: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities of all positions, length of each text); texts of similar length are read together."""
     flat = flat.astype(np.intp)
     lengths = np.maximum(np.diff(bounds) - 1, 1)  # without the line end
-    pieces = -(-lengths // MAX_BYTES)
-    owner = np.repeat(np.arange(len(texts)), pieces)
-    nth = np.arange(owner.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = bounds[:-1][owner] + nth * MAX_BYTES
-    size = np.minimum(MAX_BYTES, lengths[owner] - nth * MAX_BYTES)
-    order = np.argsort(-size, kind="stable")
-    total = np.zeros((len(texts), len(LANGUAGES)))
-    for i in range(0, order.size, rows):
-        own = order[i : i + rows]
-        p, row = position_probabilities(net, flat, begin[own], size[own])
-        sums = np.stack([np.bincount(row, weights=p[:, k], minlength=own.size) for k in range(p.shape[1])], axis=1)
-        np.add.at(total, owner[own], sums)
-    return total / lengths[:, None]
+    order = np.argsort(-lengths, kind="stable")
+    found = np.zeros((flat.size, len(LANGUAGES)), np.float32)
+    i = 0
+    while i < order.size:
+        own = order[i : i + max(1, min(rows, TOGETHER // int(lengths[order[i]])))]
+        i += own.size
+        p, row, time = position_probabilities(net, flat, bounds[:-1][own], lengths[own])
+        found[bounds[:-1][own][row] + time] = p
+    return found, lengths
+
+
+def pooled(net: BiGru, texts: list[str]) -> np.ndarray:
+    """Mean probabilities of each text's positions."""
+    flat, bounds = encode(texts)
+    found, lengths = read_positions(net, flat, bounds)
+    return _means(found, bounds[:-1], lengths)
+
+
+def _means(found: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Means over spans that don't overlap and rise."""
+    edges = np.stack([starts, starts + lengths], axis=1).ravel()
+    padded = np.concatenate([found, np.zeros((1, found.shape[1]), found.dtype)])
+    return np.add.reduceat(padded.astype(np.float64), edges, axis=0)[::2] / lengths[:, None] if starts.size else np.zeros((0, found.shape[1]))
+
+
+def stretches(flat: np.ndarray, bounds: np.ndarray, found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, language, characters, confidence) of the stretches of all texts, in their order."""
+    inside = np.zeros(flat.size, bool)
+    begin = np.zeros(flat.size, bool)
+    starts = bounds[:-1]
+    marks = np.zeros(flat.size + 1, np.int64)
+    np.add.at(marks, starts, 1), np.add.at(marks, starts + lengths, -1)
+    inside = np.cumsum(marks[:-1]) > 0
+    begin[starts] = True
+    begin[1:] |= (flat[:-1] == 32) & inside[1:] & inside[:-1]
+    word_at = np.flatnonzero(begin)
+    word_text = np.searchsorted(starts, word_at, side="right") - 1
+    word_size = np.append(word_at[1:], 0) - word_at
+    last = np.append(word_text[1:] != word_text[:-1], True)
+    word_size[last] = (starts + lengths)[word_text[last]] - word_at[last]
+    evidence = np.maximum(np.log(np.maximum(_means(found, word_at, word_size), 1e-9)), -FAINTEST)
+    # Best path over the words of each text, all texts at once, the one with most words first.
+    n_words = np.bincount(word_text, minlength=starts.size)
+    first = np.cumsum(n_words) - n_words
+    order = np.argsort(-n_words, kind="stable")
+    active = np.searchsorted(-n_words[order], -np.arange(n_words.max(initial=0)), side="left")
+    score, back = evidence[first[order]] if starts.size else evidence, []
+    for t in range(1, active.size):
+        n = active[t]
+        best = score[:n].argmax(axis=1)
+        change = score[np.arange(n), best] - CHANGE
+        back.append(np.where(score[:n] >= change[:, None], np.arange(len(LANGUAGES)), best[:, None]))
+        score[:n] = np.maximum(score[:n], change[:, None]) + evidence[first[order[:n]] + t]
+    label = np.zeros(word_at.size, np.int64)
+    at = score.argmax(axis=1) if starts.size else np.zeros(0, np.int64)
+    for t in range(active.size - 1, -1, -1):
+        n = active[t]
+        label[first[order[:n]] + t] = at[:n]
+        if t:
+            at[:n] = back[t - 1][np.arange(n), at[:n]]
+    new = np.append(True, (label[1:] != label[:-1]) | (word_text[1:] != word_text[:-1])) if label.size else np.zeros(0, bool)
+    own = np.flatnonzero(new)
+    size = np.add.reduceat(word_size, own) if own.size else word_size
+    characters = np.add.reduceat(np.append((flat < 11) | (flat > 31), 0)[: flat.size] * inside, word_at[own]) if own.size else size
+    return word_text[own], label[own], characters, _means(found, word_at[own], size)[np.arange(own.size), label[own]]
 
 
 # Training
@@ -258,6 +321,19 @@ def train(samples: list[tuple[str, str]], steps: int = 320, rows: int = 48, wind
     return net
 
 
+def stored_network(spark: SparkSession, samples: list[tuple[str, str]]) -> BiGru:
+    """The network of these samples; it is trained once, and its weights are kept in the shared folder."""
+
+    def made() -> DataFrame:
+        kept = io.BytesIO()
+        np.savez(kept, *vars(train(samples)).values())
+        return spark.createDataFrame([(bytearray(kept.getvalue()),)], "weights binary")
+
+    mark = hashlib.sha256(repr((VERSION, samples)).encode()).hexdigest()[:32]
+    with np.load(io.BytesIO(bytes(stored(spark, "network", mark, made).first().weights))) as kept:
+        return BiGru(*[kept[f"arr_{i}"] for i in range(5)])
+
+
 # Sentences
 
 _CUT = re.compile(rf"(?<=[{ENDS}])\s+|[\n\r]+")
@@ -273,48 +349,66 @@ def digits_to_zero(text: str) -> str:
 
 
 def sentence_rows(rows: DataFrame) -> DataFrame:
-    """table_name, row_no, seg_no, sentence (digits as 0), n_chars and ``whole`` (ends like a sentence) of rows with ``text``."""
+    """table_name, row_no, label, seg_no, sentence (digits as 0), key, n_chars and ``whole`` (ends like a sentence) of ``rows``
+    (table_name, row_no, label, text), written once; a row without any sentence has one line with nulls.
+    """
     cut = F.split(F.regexp_replace("text", r"\p{Nd}+", "0"), rf"(?<=[{ENDS}])[\s\p{{Z}}]+|[\n\r]+")
-    parts = rows.where(F.col("text").isNotNull()).select("table_name", "row_no", F.posexplode(cut).alias("seg_no", "sentence"))
-    words = parts.where(F.col("sentence").rlike(r"\p{L}"))
-    return words.withColumns({
+    worded = F.filter(F.transform(cut, lambda s, i: F.struct(i.alias("seg_no"), s.alias("sentence"))), lambda x: x["sentence"].rlike(r"\p{L}"))
+    parts = rows.select("table_name", "row_no", "label", F.explode_outer(worded).alias("x")).select("table_name", "row_no", "label", "x.*")
+    return materialise(parts.withColumns({
         "n_chars": F.length("sentence"),
         "whole": F.col("sentence").rlike(rf"[{ENDS}][\"'”’)\]]*[\s\p{{Z}}]*$") & (F.size(F.split(F.trim("sentence"), r"[\s\p{Z}]+")) >= MIN_WORDS),
-        "key": F.xxhash64("sentence"),
-    })
+        "key": F.when(F.col("sentence").isNotNull(), F.xxhash64("sentence")),
+    }), "sentences")
 
 
 def classify(sentences: DataFrame, net: BiGru) -> DataFrame:
-    """key, language, confidence and probabilities of each distinct sentence."""
+    """key, n (occurrences), language, confidence, p (probabilities) and parts of each distinct sentence."""
     shared = sentences.sparkSession.sparkContext.broadcast(net)
+    names = np.array(LANGUAGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = pooled(shared.value, pdf["sentence"].tolist())
-            best = p.argmax(axis=1)
-            yield pd.DataFrame({"key": pdf["key"], "language": np.array(LANGUAGES)[best], "confidence": p.max(axis=1), "p": list(p.astype(np.float32))})
+            flat, bounds = encode(pdf["sentence"].tolist())
+            found, lengths = read_positions(shared.value, flat, bounds)
+            p = _means(found, bounds[:-1], lengths)
+            owner, label, size, sure = stretches(flat, bounds, found, lengths)
+            own = [{"n_chars": c, "language": x, "confidence": f} for c, x, f in zip(size.tolist(), names[label].tolist(), sure.tolist())]
+            cuts = np.searchsorted(owner, np.arange(len(pdf) + 1))
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "language": names[p.argmax(axis=1)], "confidence": p.max(axis=1), "p": list(p.astype(np.float32)), "parts": [own[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
+
+    distinct = sentences.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("sentence").alias("sentence"), F.count("*").alias("n"))
+    return distinct.mapInPandas(run, "key long, n long, language string, confidence double, p array<float>, parts array<struct<n_chars:int,language:string,confidence:double>>")
+
 
-    distinct = sentences.groupBy("key").agg(F.first("sentence").alias("sentence"))
-    return distinct.mapInPandas(run, "key long, language string, confidence double, p array<float>")
+def labelled_sentences(rows: DataFrame, net: BiGru) -> DataFrame:
+    """Every sentence of every row with what the network says of it; rows without sentences keep their line of nulls."""
+    sentences = sentence_rows(rows)
+    found = materialise(classify(sentences, net), "labels")
+    least = max(1_000, (found.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot, rest = F.broadcast(found.where(F.col("n") > least).drop("n")), found.where(F.col("n") <= least).drop("n")
+    narrow = sentences.drop("sentence")
+    return narrow.join(hot, "key").unionByName(narrow.join(hot.select("key"), "key", "left_anti").join(rest, "key", "left"))
 
 
 def segments(rows: DataFrame, net: BiGru) -> DataFrame:
-    """Every sentence of every row with its language and confidence."""
-    parts = sentence_rows(rows)
-    found = classify(parts, net)
-    return parts.drop("sentence").join(found, "key").drop("key")
+    """table_name, row_no, seg_no, part_no, n_chars, language, confidence: the stretches of every sentence in one language."""
+    each = labelled_sentences(rows, net).select("table_name", "row_no", "seg_no", F.posexplode("parts").alias("part_no", "x"))
+    return each.select("table_name", "row_no", "seg_no", "part_no", "x.*")
 
 
-def document_languages(segments_: DataFrame) -> DataFrame:
-    """table_name, row_no, languages (sorted, of whole sentences), main language and its pooled probability."""
+def document_languages(sentences: DataFrame) -> DataFrame:
+    """table_name, row_no, label, languages (sorted, of whole sentences), main language and its pooled probability, of
+    ``labelled_sentences``; rows without sentences have an empty array and nulls.
+    """
     mean = [F.sum(F.get("p", F.lit(i)) * F.col("n_chars")).alias(f"_{x}") for i, x in enumerate(LANGUAGES)]
-    grouped = segments_.groupBy("table_name", "row_no").agg(
-        F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("language")))).alias("_whole"), F.sort_array(F.collect_set("language")).alias("_any"), F.sum("n_chars").alias("_n"), *mean
+    grouped = sentences.groupBy("table_name", "row_no").agg(
+        F.first("label").alias("label"), F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("language")))).alias("_whole"), F.sort_array(F.collect_set("language")).alias("_any"), F.sum("n_chars").alias("_n"), *mean
     )
     best = F.array_max(F.array(*[F.struct(F.col(f"_{x}").alias("score"), F.lit(x).alias("language")) for x in LANGUAGES]))
     return grouped.select(
-        "table_name", "row_no", F.when(F.size("_whole") > 0, F.col("_whole")).otherwise(F.col("_any")).alias("languages"),
-        best["language"].alias("main_language"), (best["score"] / F.col("_n")).alias("confidence"),
+        "table_name", "row_no", "label", F.when(F.size("_whole") > 0, F.col("_whole")).otherwise(F.col("_any")).alias("languages"),
+        F.when(F.col("_n").isNotNull(), best["language"]).alias("main_language"), (best["score"] / F.col("_n")).alias("confidence"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions.urls import host
 from granthika.llm import abuse, confusables, language, leakage, packing, releases, sitelines, tokens
-from granthika.session import materialise, table
+from granthika.session import materialise, spread, table
 
 
 # Problem 1: missing or wrong document language labels
@@ -18,40 +18,41 @@ MAX_SAMPLES = 5_000
 
 def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, row_no, label and text of both tables; broken JSON gives null text."""
-    filed = releases.with_sections(table(spark, sf_dir, "pib_releases")).select(
+    raw = spread(table(spark, sf_dir, "pib_releases").select("id", "language", "content_json"))
+    filed = releases.with_sections(raw).select(
         F.lit("pib_releases").alias("table_name"), F.col("id").alias("row_no"), F.col("language").alias("label"), releases.text_of(F.col("sections")).alias("text")
     )
-    pages = table(spark, sf_dir, "webscraper_output").select(
-        F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"), F.col("metadata.language").alias("label"), F.col("content.clean_text").alias("text")
+    pages = spread(table(spark, sf_dir, "webscraper_output").select("record_no", "metadata.language", "content.clean_text")).select(
+        F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"), F.col("language").alias("label"), F.col("clean_text").alias("text")
     )
     return filed.unionByName(pages)
 
 
 def _network(spark: SparkSession, sf_dir: str) -> language.BiGru:
     samples = table(spark, sf_dir, "lang_samples").orderBy("sample_id").limit(MAX_SAMPLES).select("sample_text", "language").collect()
-    return language.train([(r.sample_text, r.language) for r in samples])
+    return language.stored_network(spark, [(r.sample_text, r.language) for r in samples])
 
 
 def _text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _labelled_texts(spark, sf_dir)
-    found = language.document_languages(language.segments(texts, _network(spark, sf_dir)))
-    return texts.select("table_name", "row_no", language.named_languages(F.col("label")).alias("named")).join(found, ["table_name", "row_no"])
+    found = language.document_languages(language.labelled_sentences(_labelled_texts(spark, sf_dir), _network(spark, sf_dir)))
+    return found.withColumn("named", language.named_languages(F.col("label")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrong = _text_languages(spark, sf_dir).where(F.col("named") != F.col("languages"))
+    wrong = _text_languages(spark, sf_dir).where((F.size("languages") > 0) & (F.col("named") != F.col("languages")))
     return wrong.select("table_name", "row_no", F.explode("languages").alias("lang"))
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of every row with its language and confidence."""
-    return language.segments(_labelled_texts(spark, sf_dir), _network(spark, sf_dir)).select("table_name", "row_no", "seg_no", "n_chars", "language", "confidence")
+    """Every stretch of every sentence of every row with its language and confidence."""
+    return language.segments(_labelled_texts(spark, sf_dir), _network(spark, sf_dir))
 
 
 def p1_document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of every row with text, the main one with its pooled probability, and whether the label names them."""
+    """Languages of every row, the main one with its pooled probability, and whether the label names them; nulls without text."""
+    has = F.size("languages") > 0
     return _text_languages(spark, sf_dir).select(
-        "table_name", "row_no", F.array_join("languages", ",").alias("languages"), "main_language", "confidence", (F.col("named") == F.col("languages")).alias("label_is_right")
+        "table_name", "row_no", F.array_join("languages", ",").alias("languages"), "main_language", "confidence", F.when(has, F.col("named") == F.col("languages")).alias("label_is_right")
     )
 
 

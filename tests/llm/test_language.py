@@ -51,12 +51,53 @@ def test_rows(spark, net):
     hindi = "राज्य मंत्री ने कहा कि 57 महिलाओं ने वशीपुर में प्रशिक्षण पूरा कर लिया है।"
     english = "The committee will review the scheme and submit a report within 30 days."
     rows = [("t", 1, f"{english}\n{hindi} {english}", "x"), ("t", 2, None, None), ("t", 3, " \n123", None), ("t", 4, hindi, None), ("t", 5, english * 400, None), ("t", 5, hindi, None)]
-    df = spark.createDataFrame(rows, "table_name string, row_no long, text string, language string")
-    found = {r.row_no: r for r in L.document_languages(L.segments(df, net)).collect()}
-    assert found[1].languages == ["en", "hi"] and found[4].languages == ["hi"] and found[1].confidence < 1.0001 and set(found) == {1, 4, 5}
+    df = spark.createDataFrame(rows, "table_name string, row_no long, text string, label string")
+    found = {r.row_no: r for r in L.document_languages(L.labelled_sentences(df, net)).collect()}
+    assert found[1].languages == ["en", "hi"] and found[4].languages == ["hi"] and found[1].confidence < 1.0001 and set(found) == {1, 2, 3, 4, 5}
+    assert found[2].languages == found[3].languages == [] and found[3].confidence is None and found[2].main_language is None and found[1].label == "x"
     assert L.segments(df.limit(0), net).count() == 0
 
 
+def test_hot_sentences_by_broadcast(spark, net, monkeypatch):
+    english, tamil = "The committee will review the scheme and submit a report.", "இந்த திட்டம் அடுத்த மாதம் தொடங்கும் என்று அமைச்சர் கூறினார்."
+    rows = [("t", i, english if i < 1500 else f"{tamil}", "en") for i in range(1510)]
+    df = spark.createDataFrame(rows, "table_name string, row_no long, text string, label string")
+    found = L.document_languages(L.labelled_sentences(df, net)).groupBy("main_language").count().collect()
+    assert sorted(tuple(r) for r in found) == [("en", 1500), ("ta", 10)]
+
+
+def test_stretches_inside_a_sentence(net):
+    english, bengali = "the committee of the state will review the whole scheme", "মন্ত্রক এই প্রকল্পের জন্য টাকা বরাদ্দ করেছে বলে জানা গেছে"
+    texts = [english + " " + bengali, bengali, english + " " + bengali + " " + english, "x", english + " মন্ত্রক"]
+    flat, bounds = L.encode(texts)
+    found, lengths = L.read_positions(net, flat, bounds)
+    owner, label, size, sure = L.stretches(flat, bounds, found, lengths)
+    got = [[L.LANGUAGES[k] for k in label[owner == i]] for i in range(len(texts))]
+    assert got[0] == ["en", "bn"] and got[1] == ["bn"] and got[2] == ["en", "bn", "en"] and len(got[3]) == 1 and got[4] == ["en"]
+    assert [int(size[owner == i].sum()) for i in range(len(texts))] == [len(t) for t in texts] and sure[:3].min() > 0.5
+    assert abs(size[0] - len(english)) <= 1
+
+
+def test_long_sentences_are_read_whole(net, samples):
+    """A sentence gives the same read alone, among others, or in a small block; no length is a bound."""
+    own = " ".join(t.replace("\n", " ") for t, lang in samples if lang == "en")[:30_000]
+    short = "The report is here."
+    together, alone = L.pooled(net, [own, short]), np.concatenate([L.pooled(net, [own]), L.pooled(net, [short])])
+    assert np.allclose(together, alone, atol=1e-5)
+    flat, bounds = L.encode([own])
+    p, _, _ = L.position_probabilities(net, flat.astype(np.intp), bounds[:-1], np.diff(bounds) - 1)
+    assert np.allclose(p.mean(axis=0), together[0], atol=1e-4)
+
+
+def test_stored_network(spark, samples, monkeypatch):
+    few = samples[:40]
+    monkeypatch.setattr(L, "train", lambda s: L.BiGru(*[np.full((2, 2), len(s) + i, np.float32) for i in range(5)]))
+    first = L.stored_network(spark, few)
+    monkeypatch.setattr(L, "train", lambda s: 1 / 0)
+    again = L.stored_network(spark, few)
+    assert all(np.array_equal(a, b) for a, b in zip(vars(first).values(), vars(again).values()))
+
+
 def test_labels(spark):
     rows = ["en-IN", "HI", "te; en,EN", "mul", None, " ", "N/A", "Marathi+ur_PK", "fr"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
