@@ -9,8 +9,10 @@ highest score takes the label, all sentences of negative documents take grade 0,
 sentence scores stop counting (label noise). Sentences with a listed term take its severity as their grade; for others it
 is known only that the grade is at least 1, and the likelihood is that of the open interval.
 
-The fit uses a bounded sample of labelled documents (``max_labelled``, by hash of the id) on the driver; scoring runs on
-every sentence of every document.
+Texts are encoded once: the sentences of every document as feature codes are stored, and both the fit and the scores read
+them. How often a labelled sentence, or a word pair of one, occurs is counted over all documents. The weights are fitted
+to the distinct sentences of a bounded sample of labelled documents (``max_labelled``, by hash of the id), which come to
+the driver as codes; the model is stored, and every query scores every sentence of every document with it.
 
 Defined results: null and empty texts score 0; repeated documents score alike; labels other than 0 and 1, and documents
 whose annotators are evenly split, aren't used; without any positive label the fit rests on the listed terms alone.
@@ -26,20 +28,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granthika.session import broadcast_within, fingerprint, materialise, spread, stored
+
 #: Labelled documents that the fit uses at most.
 MAX_LABELLED = 9_000
-#: Unlabelled documents that the fit uses at most.
-MAX_BACKGROUND = 6_000
 #: A sentence can stand for a positive document if it is so many times as frequent there as elsewhere.
 MIN_LIFT = 8.0
+#: Weight of a pair's harmless uses in the whole corpus.
+COMMON = 1.5
 GRADES = 3
 BITS = 19
 SIZE = 1 << BITS
-THRESHOLD = 0.6
-SCORES = "doc_id long, expected_severity double, p_abusive double, worst_sentence int"
+#: A document counts as abusive from this P(grade >= 1) of its worst sentence on.
+THRESHOLD = 0.4
+#: To be raised with every change of the codes or the fit, so that stored ones aren't used on.
+VERSION = 3
+SENTENCES = "codes array<int>, starts array<int>, hashes array<long>"
 
 _START, _END, _NAME, _NUMBER, _NONE = 1, 2, 3, 4, 5
 _SENTENCE = re.compile(r"(?<=[.!?।۔])\s+|[\n\r]+")
@@ -167,131 +177,212 @@ def fit(codes: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray
     return OrdinalModel(w.astype(np.float32), np.concatenate([gaps[:1], gaps[0] + np.cumsum(np.exp(gaps[1:]))]))
 
 
-def _unique(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first sentence of each distinct one, distinct number of each sentence)."""
-    ends, seen, first, number = np.append(starts[1:], codes.size), {}, [], []
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        key = codes[a:b].tobytes()
-        k = seen.setdefault(key, len(seen))
-        if k == len(first):
-            first.append(i)
-        number.append(k)
-    return np.array(first, np.int64), np.array(number, np.int64)
+def encode(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, and the sentences of each document: codes of all in a row, start and hash of each.
+
+    Written once for the documents' files. Null and empty texts have none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder()
+        for pdf in batches:
+            codes, starts, owner = encoder.texts(pdf.pop("text").tolist())
+            small, ends = codes.astype(np.int32), np.append(starts, codes.size)
+            hashes = np.array([xxhash.xxh3_64_intdigest(small[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], np.uint64).astype(np.int64)
+            cuts = np.searchsorted(owner, np.arange(len(pdf) + 1))
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            yield pdf.assign(codes=[small[ends[a] : ends[b]] for a, b in spans], starts=[(starts[a:b] - ends[a]).astype(np.int32) for a, b in spans], hashes=[hashes[a:b] for a, b in spans])
+
+    own = documents.select("doc_id", *keep, "text")
+    kinds = ", ".join(f"{c} {t}" for c, t in own.dtypes[:-1])
+    return stored(documents.sparkSession, "abuse-sentences", fingerprint(documents, keep, VERSION), lambda: spread(own).mapInPandas(run, f"{kinds}, {SENTENCES}"))
+
+
+@dataclass
+class Labelled:
+    """Distinct sentences of the labelled documents, and what is known of them."""
+
+    codes: np.ndarray  # of all sentences in a row
+    starts: np.ndarray
+    in_negative: np.ndarray  # documents labelled 0 that hold the sentence
+    unlabelled: np.ndarray  # other documents that hold it, of the whole corpus
+    pos_number: np.ndarray  # sentences of the positive documents, and the document of each
+    pos_owner: np.ndarray
+    pair_counts: np.ndarray  # sentences of the whole corpus that hold a pair, for the pairs of positive sentences
+    share: float  # of positive documents among all
+    sampled: float  # of labelled documents among all
 
 
-def train(texts: list[str], labels: list[int], terms: list[tuple[str, int]], background: list[str] = (), passes: int = 8) -> OrdinalModel:
-    """Fits the model to labelled documents, to the listed terms with their severities, and to unlabelled documents.
+def _common_pairs(data: Labelled) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbouring words of positive sentences, how much more often they stand in the corpus than the labels explain).
 
-    Unlabelled sentences count as grade 0 at a low weight, as most are harmless; from the second pass on, those that
-    score high don't count, and those that score very high count as grade 1 or more.
+    A labelled document stands for 1 / ``sampled`` documents. What goes beyond that is harmless use, and counts as such.
     """
-    encoder = Encoder()
-    codes, starts, owner = encoder.texts([*texts, *background, *(t for t, _ in terms)])
-    n_docs, n_all = len(texts), len(texts) + len(background)
-    first, number = _unique(codes, starts)
-    n = first.size
-    if not n:
+    last = np.append(data.starts[1:], data.codes.size) - 1
+    number = np.repeat(np.arange(data.starts.size), np.diff(np.append(data.starts, data.codes.size)))
+    at = np.flatnonzero(np.isin(number, data.pos_number) & ~np.isin(np.arange(data.codes.size), last))
+    pair = pair_codes(data.codes)[at] if at.size else at
+    kept, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+    held = np.bincount(inverse, weights=np.bincount(data.pos_number, minlength=data.starts.size)[number[at]], minlength=kept.size) if at.size else np.zeros(0)
+    excess = np.maximum(data.pair_counts[kept] - held / data.sampled, 0) if at.size else held
+    words = at[first][excess > 0]
+    return np.stack([data.codes[words], data.codes[np.minimum(words + 1, max(0, data.codes.size - 1))]], axis=1) if at.size else np.zeros((0, 2), np.int64), excess[excess > 0]
+
+
+def train(data: Labelled, terms: list[tuple[str, int]], passes: int = 8) -> OrdinalModel:
+    """Fits the model to labelled sentences and to the listed terms with their severities.
+
+    Sentences of negative documents have grade 0. In a positive document the sentence with the highest score has the
+    label; only sentences that are much more frequent there than in the whole corpus can.
+    """
+    encoder, n = Encoder(), data.starts.size
+    tcodes, tstarts, towner = encoder.texts([t for t, _ in terms])
+    severity = np.array([g for _, g in terms], np.int64)[towner]
+    common, excess = _common_pairs(data)
+    codes = np.concatenate([data.codes, tcodes, common.ravel()]).astype(np.int64)
+    starts = np.concatenate([data.starts, tstarts + data.codes.size, data.codes.size + tcodes.size + 2 * np.arange(excess.size)]).astype(np.int64)
+    if not starts.size:
         return OrdinalModel(np.zeros(SIZE, np.float32), np.array([2.0, 3.0, 4.0]))
-    ulen = np.append(starts[1:], codes.size)[first] - starts[first]
-    ustarts = np.concatenate([[0], np.cumsum(ulen)[:-1]]).astype(np.int64)
-    ucodes = codes[np.repeat(starts[first] - ustarts, ulen) + np.arange(ulen.sum())]
-    upairs = pair_codes(ucodes)
-
-    label = np.concatenate([np.asarray(labels, np.int64), np.full(len(background), -1), np.full(len(terms), -2)])[owner]
-    in_neg, in_back = (np.bincount(number[label == k], minlength=n).astype(float) for k in (0, -1))
-    pos_rows, term_rows = np.flatnonzero(label == 1), np.flatnonzero(label == -2)
-    pos_number, pos_owner = number[pos_rows], owner[pos_rows]
-    severity = np.array([g for _, g in terms], np.int64)[owner[term_rows] - n_all]
+    lengths = np.diff(np.append(starts, codes.size))
+    pairs = pair_codes(codes)
+    term_rows, common_rows = n + np.arange(tstarts.size), n + tstarts.size + np.arange(excess.size)
 
     # The grade of a sentence is that of the listed terms in it.
-    grade = np.zeros(n, np.int64)
+    grade = np.zeros(starts.size, np.int64)
     listed = {tuple(encoder.sentence(t)[1:-1]): g for t, g in terms}
-    for j in np.unique(pos_number):
-        words = ucodes[ustarts[j] + 1 : ustarts[j] + ulen[j] - 1].tolist()
+    for j in np.unique(data.pos_number):
+        words = codes[starts[j] + 1 : starts[j] + lengths[j] - 1].tolist()
         for size in {len(k) for k in listed}:
             for i in range(len(words) - size + 1):
                 grade[j] = max(grade[j], listed.get(tuple(words[i : i + size]), 0))
 
-    # First guess: the three most telling word pairs, by smoothed odds of positive against all other documents.
-    others = in_neg + in_back
-    ratio = max(1, len(set(pos_owner.tolist()))) / max(1, n_all)
-    in_pos = np.bincount(pos_number, minlength=n).astype(float)
-    telling = (in_pos > 0) & (in_pos > MIN_LIFT * ratio * others)
-    per_pair = lambda counts: np.bincount(upairs, weights=np.repeat(counts, ulen), minlength=SIZE)
-    odds = np.log((per_pair(in_pos) + 0.3 * ratio) / (ratio * per_pair(others) + 0.3))[upairs]
-    rank = np.lexsort((-odds, np.repeat(np.arange(n), ulen)))
-    top = [odds[rank][np.minimum(ustarts + i, ustarts + ulen - 1)] for i in range(3)]
+    # First guess: the three most telling word pairs, by smoothed odds of positive documents against the whole corpus.
+    in_pos = np.bincount(data.pos_number, minlength=starts.size).astype(float)
+    negative, others = np.zeros(starts.size), np.zeros(starts.size)
+    negative[:n], others[:n] = data.in_negative, data.in_negative + data.unlabelled
+    telling = (in_pos > 0) & (in_pos > MIN_LIFT * data.share * others)
+    of_pos = np.bincount(pairs, weights=np.repeat(in_pos, lengths), minlength=SIZE)
+    odds = np.log((of_pos + 0.3 * data.share) / (data.share * data.pair_counts + 0.3))[pairs]
+    rank = np.lexsort((-odds, np.repeat(np.arange(starts.size), lengths)))
+    top = [odds[rank][np.minimum(starts + i, starts + lengths - 1)] for i in range(3)]
     score = np.where(telling, sum(top) / 3 + (grade > 0), -np.inf)
-    floor, model, clean, sure = -np.inf, None, np.ones(n, bool), np.zeros(n, bool)
+    # Sentences that many documents hold without a label are harmless as a rule; they count a little.
+    usual = np.where(telling, 0.0, others - negative)
+    floor, model = -np.inf, None
     for _ in range(passes):
-        chosen = np.zeros(n)
-        if pos_rows.size:
-            order = np.lexsort((score[pos_number], pos_owner))
-            last = np.append(np.flatnonzero(np.diff(pos_owner[order])), order.size - 1)
-            picked = pos_number[order][last]
+        chosen = np.zeros(starts.size)
+        if data.pos_number.size:
+            order = np.lexsort((score[data.pos_number], data.pos_owner))
+            last = np.append(np.flatnonzero(np.diff(data.pos_owner[order])), order.size - 1)
+            picked = data.pos_number[order][last]
             np.add.at(chosen, picked[score[picked] > floor], 1)
-        negative = in_neg + 0.2 * in_back * clean
-        neg, pos, own = np.flatnonzero(negative > 0), np.flatnonzero(chosen), np.flatnonzero(sure & (chosen == 0))
-        rows = np.concatenate([neg, pos, own, number[term_rows]])
-        low = np.concatenate([np.zeros(neg.size, np.int64), np.maximum(grade[pos], 1), np.ones(own.size, np.int64), severity])
-        high = np.concatenate([np.zeros(neg.size, np.int64), np.where(grade[pos] > 0, grade[pos], GRADES), np.full(own.size, GRADES), severity])
-        weight = np.concatenate([np.sqrt(negative[neg]), 2.0 * np.sqrt(chosen[pos]), 0.5 * np.sqrt(in_back[own]), np.full(term_rows.size, 0.3)])
-        at = np.concatenate([[0], np.cumsum(ulen[rows])[:-1]]).astype(np.int64)
-        flat = ucodes[np.repeat(ustarts[rows] - at, ulen[rows]) + np.arange(ulen[rows].sum())]
+        weak = negative + 0.2 * usual
+        neg, pos = np.flatnonzero(weak > 0), np.flatnonzero(chosen)
+        rows = np.concatenate([neg, pos, term_rows, common_rows])
+        none = np.zeros(common_rows.size, np.int64)
+        low = np.concatenate([np.zeros(neg.size, np.int64), np.maximum(grade[pos], 1), severity, none])
+        high = np.concatenate([np.zeros(neg.size, np.int64), np.where(grade[pos] > 0, grade[pos], GRADES), severity, none])
+        weight = np.concatenate([np.sqrt(weak[neg]), 2.0 * np.sqrt(chosen[pos]), np.full(term_rows.size, 0.3), COMMON * np.sqrt(excess)])
+        at = np.concatenate([[0], np.cumsum(lengths[rows])[:-1]]).astype(np.int64)
+        flat = codes[np.repeat(starts[rows] - at, lengths[rows]) + np.arange(lengths[rows].sum())]
         model = fit(flat, at, low, high, weight, begin=model, rounds=100 if model is None else 40)
-        raw = model.raw(ucodes, ustarts)
-        score = np.where(telling, raw, -np.inf)
+        score = np.where(telling, model.raw(codes, starts), -np.inf)
         floor = model.thresholds[0] - 1.0
-        clean = raw < floor - 0.5
-        sure = (in_back > 0) & (in_neg == 0) & (raw > model.thresholds[0] + 0.5)
     return model
 
 
-def background_documents(documents: DataFrame, max_background: int = MAX_BACKGROUND) -> DataFrame:
-    """text of at most ``max_background`` documents, by hash of the id."""
-    ids = documents.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("background")), "doc_id").limit(max_background)
-    return documents.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
-
-
-def labelled_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """text and abusive (0/1) of at most ``max_labelled`` documents, by majority of valid, distinct labels."""
+def labelled_documents(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and abusive (0/1) of at most ``max_labelled`` documents, by majority of valid, distinct labels."""
     votes = labels.where(F.col("abusive").isin(0, 1) & F.col("doc_id").isNotNull()).distinct().groupBy("doc_id").agg(F.avg("abusive").alias("share"))
     clear = votes.where("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("abusive"))
-    sample = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return documents.where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "abusive")
-
-
-def fit_on(documents: DataFrame, labels: DataFrame, terms: DataFrame, max_labelled: int = MAX_LABELLED, max_background: int = MAX_BACKGROUND) -> OrdinalModel:
+    return clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+
+
+def labelled_sentences(encoded: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Labelled:
+    """What the fit needs: sentences of the labelled sample, with counts over all of ``encoded``."""
+    sample = materialise(labelled_documents(labels, max_labelled), "labelled")
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("codes")))
+    each = F.transform(F.arrays_zip("hashes", "starts", ends.alias("ends")), lambda x: F.struct(x["hashes"].alias("h"), F.slice("codes", x["starts"] + 1, x["ends"] - x["starts"]).alias("codes")))
+    own = encoded.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).where(F.size("hashes") > 0)
+    rows = materialise(own.select("doc_id", "abusive", F.explode(F.array_distinct(each)).alias("x")).select("doc_id", "abusive", "x.*"), "labelled-sentences")
+    distinct = rows.groupBy("h").agg(F.first("codes").alias("codes"), F.count_if(F.col("abusive") == 0).alias("n_neg"), F.count("*").alias("n_own")).orderBy("h").toPandas()
+    hashes = distinct["h"].to_numpy(np.int64)
+    held = encoded.select(F.explode(F.array_distinct("hashes")).alias("h")).join(broadcast_within(rows.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).toPandas()
+    everywhere = np.zeros(hashes.size, np.int64)
+    everywhere[np.searchsorted(hashes, held["h"].to_numpy(np.int64))] = held["n"]
+    sizes = distinct["codes"].map(len).to_numpy(np.int64) if len(distinct) else np.zeros(0, np.int64)
+    codes = np.concatenate(distinct["codes"].tolist()).astype(np.int64) if len(distinct) else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    positive = rows.where("abusive = 1").select("doc_id", "h").orderBy("doc_id", "h").toPandas()
+    number = np.searchsorted(hashes, positive["h"].to_numpy(np.int64))
+    in_positive = np.repeat(np.isin(np.arange(hashes.size), number), sizes)
+    counts = pair_frequencies(encoded, np.unique(pair_codes(codes)[in_positive]) if codes.size else codes)
+    n_docs = max(1, encoded.count())
+    return Labelled(codes, starts, distinct["n_neg"].to_numpy(float), np.maximum(everywhere - distinct["n_own"].to_numpy(float), 0), number, positive["doc_id"].to_numpy(np.int64), counts, max(1, positive["doc_id"].nunique()) / n_docs, max(1, sample.count()) / n_docs)
+
+
+def pair_frequencies(encoded: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """How often each wanted pair stands in the sentences of all documents, by its code; tasks add up before they send."""
+    shared = encoded.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            codes = batch.column(0).flatten().to_numpy().astype(np.int64)
+            if codes.size:
+                total += np.bincount(pair_codes(codes), minlength=SIZE)
+        own = shared.value[total[shared.value] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own], pa.int64())], ["pair", "n"])
+
+    out = np.zeros(SIZE)
+    if wanted.size:
+        found = encoded.select("codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+        out[found["pair"].to_numpy(np.int64)] = found["n"]
+    return out
+
+
+def fit_on(encoded: DataFrame, labels: DataFrame, terms: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
     """The model of a labelled sample; ``terms`` has term and severity."""
-    sample = labelled_documents(documents, labels, max_labelled).orderBy("doc_id").collect()
     listed = terms.where(F.col("term").isNotNull() & F.col("severity").between(1, GRADES)).select("term", "severity").distinct().orderBy("term", "severity").collect()
-    taken = {r.doc_id for r in sample}
-    background = [r.text for r in background_documents(documents, max_background).orderBy("doc_id").collect() if r.doc_id not in taken]
-    return train([r.text for r in sample], [r.abusive for r in sample], [(r.term, r.severity) for r in listed], background)
+    return train(labelled_sentences(encoded, labels, max_labelled), [(r.term, r.severity) for r in listed])
 
 
-def score(documents: DataFrame, model: OrdinalModel) -> DataFrame:
-    """doc_id, expected_severity (0 to 3), p_abusive and the number of the worst sentence (null without any)."""
+def stored_model(documents: DataFrame, labels: DataFrame, terms: DataFrame, encoded: DataFrame, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
+    """``fit_on``, once for the files of the three tables."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, m = Encoder(), shared.value
-        for pdf in batches:
-            codes, starts, owner = encoder.texts(pdf["text"].tolist())
-            n = len(pdf)
-            worst, raw = np.full(n, -1, np.int64), np.full(n, -np.inf)
-            if starts.size:
-                raws = m.raw(codes, starts)
-                order = np.lexsort((-np.arange(raws.size), raws, owner))
-                last = np.append(np.flatnonzero(np.diff(owner[order])), order.size - 1)
-                best = order[last]
-                raw[owner[best]] = raws[best]
-                begin = np.searchsorted(owner, owner[best])
-                worst[owner[best]] = best - begin
+    def made() -> DataFrame:
+        m = fit_on(encoded, labels, terms, max_labelled)
+        return spark.createDataFrame([(bytearray(m.weights.tobytes()), m.thresholds.tolist())], "weights binary, thresholds array<double>")
+
+    mark = fingerprint(labels, fingerprint(terms), fingerprint(documents), max_labelled, VERSION)
+    row = stored(spark, "abuse-model", mark, made).first()
+    return OrdinalModel(np.frombuffer(bytes(row.weights), np.float32), np.array(row.thresholds))
+
+
+def score(encoded: DataFrame, model: OrdinalModel) -> DataFrame:
+    """doc_id, what ``encode`` kept, expected_severity (0 to 3), p_abusive and the number of the worst sentence (null without any)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    kept = [(c, t) for c, t in encoded.dtypes if c not in ("codes", "starts", "hashes")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            codes, starts = (batch.column(batch.num_columns - 2 + i) for i in range(2))
+            n_codes, n_sentences = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (codes, starts))
+            begin = np.cumsum(n_sentences) - n_sentences
+            worst, raw = np.full(batch.num_rows, -1, np.int64), np.full(batch.num_rows, -np.inf)
+            if n_sentences.sum():
+                at = starts.flatten().to_numpy().astype(np.int64) + np.repeat(np.cumsum(n_codes) - n_codes, n_sentences)
+                raws = m.raw(codes.flatten().to_numpy().astype(np.int64), at)
+                has = np.flatnonzero(n_sentences)
+                raw[has] = np.maximum.reduceat(raws, begin[has])
+                best = np.flatnonzero(raws == np.repeat(raw, n_sentences))[::-1]
+                owner = np.repeat(np.arange(batch.num_rows), n_sentences)
+                worst[owner[best]] = best - begin[owner[best]]
             p = m.at_least(raw)
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "expected_severity": p.sum(axis=0), "p_abusive": p[0], "worst_sentence": pd.array(np.where(worst < 0, 0, worst), dtype="Int32").copy()}
-            ).assign(worst_sentence=lambda x: x["worst_sentence"].mask(worst < 0))
+            told = [pa.array(p.sum(axis=0)), pa.array(p[0]), pa.array(worst, pa.int32(), mask=worst < 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *told], [*[c for c, _ in kept], "expected_severity", "p_abusive", "worst_sentence"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCORES)
+    kinds = ", ".join(f"{c} {t}" for c, t in kept)
+    return encoded.select(*[c for c, _ in kept], "codes", "starts").mapInArrow(run, f"{kinds}, expected_severity double, p_abusive double, worst_sentence int")

@@ -184,8 +184,8 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = abuse.fit_on(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "abuse_terms"))
-    return abuse.score(documents, model)
+    encoded = abuse.encode(documents, ("source",))
+    return abuse.score(encoded, abuse.stored_model(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "abuse_terms"), encoded))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +194,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its expected severity (0 to 3)."""
-    return _abuse_scores(spark, sf_dir)
+    return _abuse_scores(spark, sf_dir).drop("source")
 
 
 def p8_rate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of abusive documents and mean severity of each source."""
-    scored = _abuse_scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return scored.groupBy("source").agg(
-        F.count("*").alias("n_documents"), F.count_if(F.col("p_abusive") > abuse.THRESHOLD).alias("n_abusive"),
-        F.avg((F.col("p_abusive") > abuse.THRESHOLD).cast("int")).alias("abusive_rate"), F.avg("expected_severity").alias("mean_severity"),
-    )
+    found = F.col("p_abusive") > abuse.THRESHOLD
+    return _abuse_scores(spark, sf_dir).groupBy("source").agg(
+        F.count("*").alias("n_documents"), F.count_if(found).alias("n_abusive"), F.avg(found.cast("int")).alias("abusive_rate"), F.avg("expected_severity").alias("mean_severity")
+    )
 
 
 QUERIES = {
