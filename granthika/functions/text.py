@@ -139,6 +139,12 @@ def entity_names(items: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.ltrim(x, F.lit("#@"))), lambda x: F.length(x) > 0)
 
 
+def named_entities(items: Column, keys: tuple[str, ...]) -> Column:
+    """Names of items that are maps: the first of ``keys`` with a text in it, without leading # and @; items without any are left out."""
+    name = lambda m: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in keys])
+    return entity_names(F.filter(F.transform(items, name), lambda x: x.isNotNull()))
+
+
 def links_of(given: Column, text: Column) -> Column:
     """Links that a record names, then those in its text without trailing marks; each URL once. Both are arrays of {url, expanded_url}."""
     none = F.expr("cast(array() as array<struct<url:string,expanded_url:string>>)")

@@ -83,3 +83,10 @@ def report(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
 def mean_of_valid(rows: DataFrame, value: str, *by: str, invalid: float = -1) -> DataFrame:
     """Mean over values that aren't null or the mark for none; null where there is no valid value."""
     return rows.groupBy(*by).agg(F.avg(F.when(F.col(value) != invalid, F.col(value))).alias("mean_value"), F.count(F.when(F.col(value) != invalid, 1)).alias("n_valid"))
+
+
+def mean_confidence(rows: DataFrame, value: str, *by: str, most: float = 10) -> DataFrame:
+    """Mean of the values that are numbers, held between 0 and ``most`` and divided by it; 0 where there is none."""
+    v = F.col(value).cast("double")
+    mean = F.coalesce(F.avg(F.when(~F.isnan(v), v)), F.lit(0.0))
+    return rows.groupBy(*by).agg((F.least(F.lit(float(most)), F.greatest(F.lit(0.0), mean)) / most).alias("mean_confidence"))

@@ -118,6 +118,16 @@ def social_records(posts: DataFrame) -> DataFrame:
     )
 
 
+def release_rows(documents: DataFrame) -> DataFrame:
+    """Rows of the releases table of page documents: their facts as ``metadata_json``, and all that isn't metadata as ``content_json``."""
+    facts = ("source_type", "url", "organization", "published_at", "language", "release_id", "has_tables")
+    told = documents.withColumn("published_at", iso_utc(F.col("published_at")))
+    return told.select(
+        *[c for c in documents.columns if c not in ("sections", "has_tables", "source_type")],
+        F.to_json(F.struct(*facts)).alias("metadata_json"), F.to_json(F.struct("document_id", "title", "source_type", "url", "sections")).alias("content_json"),
+    )
+
+
 def document_checks() -> dict[str, Column]:
     return {
         "document_id": is_blank(F.col("document_id")), "source_type": ~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)), "content": is_blank(F.col("content")),

@@ -100,7 +100,7 @@ def clean_scanned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("content.raw_text")
-    joined = lambda c: F.array_join(F.array_sort(c), " ")
+    joined = lambda c: F.array_join(c, " ")
     return table(spark, sf_dir, "webscraper_output").where(raw.isNotNull()).select("record_no", joined(text.hashtags(raw)).alias("hashtags"), joined(text.mentions(raw)).alias("mentions"), joined(text.urls(raw)).alias("urls"))
 
 
@@ -231,6 +231,7 @@ for _c in ("character_count", "word_count"):
     _MEASURES |= {f"{_c}_min": f"min({_c})", f"{_c}_mean": f"avg({_c})", f"{_c}_max": f"max({_c})"} | {f"{_c}_p{round(p * 100)}": f"quantile_cont({_c}, {p})" for p in (0.5, 0.9, 0.95, 0.99)}
 _MEASURES |= {f"words_over_{t}": f"count(*) FILTER (word_count > {t})" for t in analytics.WORD_THRESHOLDS}
 
+_ordered = lambda x: f"array_to_string(list_filter({x}, lambda v, i: list_position({x}, v) = i), ' ')"
 _PAGE = """SELECT document_id, list_concat([organization, title, 'Posted On: ' || coalesce(published_at, '-') || ' by PIB', 'Release ID: ' || release_id],
     flatten(list_transform(json_transform(content_json, '{"sections":[{"heading":"VARCHAR","content":"VARCHAR"}]}').sections, lambda x: CASE WHEN x.content IS NULL THEN [] ELSE list_concat([x.heading], string_split(x.content, chr(10) || chr(10))) END))) AS texts
     FROM pib_releases WHERE json_valid(content_json) AND document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY id DESC) = 1"""
@@ -260,9 +261,9 @@ ORACLE = {
     "clean_blocks": f"SELECT doc_id, md5(c) AS clean_md5, length(c) AS n_chars FROM (SELECT doc_id, {q.clean_block('text')} AS c FROM documents)",
     "clean_web_text": f"SELECT record_no, md5(c) AS clean_md5, length(c) AS n_chars FROM (SELECT record_no, {q.one_spaced("regexp_replace(w.content.raw_text, '<[^>]+>', ' ', 'g')")} AS c FROM webscraper_output w)",
     "clean_scanned_text": rf"""SELECT doc_id, md5({q.strip(r"regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '(?m)[\t\r\f\v ]+$', '', 'g'), '\n{3,}', chr(10)||chr(10), 'g')")}) AS clean_md5 FROM documents""",
-    "entity_extract": rf"""SELECT record_no, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(^|[^\p{{L}}\p{{N}}_])#([\p{{L}}\p{{N}}_-]+)', 2))), ' ') AS hashtags,
-        array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(^|[^\p{{L}}\p{{N}}_])@([\p{{L}}\p{{N}}_-]+)', 2))), ' ') AS mentions,
-        array_to_string(list_sort(list_distinct(regexp_extract_all(t, 'https?://[^\s<>\]\["'']+'))), ' ') AS urls FROM (SELECT record_no, w.content.raw_text AS t FROM webscraper_output w) WHERE t IS NOT NULL""",
+    "entity_extract": rf"""SELECT record_no, {_ordered(r"regexp_extract_all(t, '(^|[^\p{L}\p{N}_])#([\p{L}\p{N}_-]+)', 2)")} AS hashtags,
+        {_ordered(r"regexp_extract_all(t, '(^|[^\p{L}\p{N}_])@([\p{L}\p{N}_-]+)', 2)")} AS mentions,
+        {_ordered(r"""regexp_extract_all(t, 'https?://[^\s<>\]\["'']+')""")} AS urls FROM (SELECT record_no, w.content.raw_text AS t FROM webscraper_output w) WHERE t IS NOT NULL""",
     "url_hosts": f"SELECT host, count(*) AS n, count(*) FILTER (host IN ('pib.example', 'example', 'oshudratimes.example') OR host LIKE '%.pib.example' OR host LIKE '%.example') AS n_on_list FROM (SELECT {q.host('w.source.source_url')} AS host FROM webscraper_output w) GROUP BY host",
     "release_urls": r"""SELECT id, nullif(regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1), '') AS release_number,
         CASE WHEN nullif(regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1), '') IS NULL THEN url ELSE 'https://pib.example/PressReleasePage.aspx?PRID=' || regexp_extract(url, '(?i)PRID\s*=\s*(\d+)', 1) END AS canonical_url FROM pib_releases""",

@@ -10,25 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.operators.store import VersionedTable, insert_or_ignore
+from granthika.operators.store import AppendedTable, BucketedTable
 
 
-def ingest_new(spark: SparkSession, source: str, schema, table: VersionedTable, keys: list[str], order: str, checkpoint: str) -> int:
-    """Adds rows of new files whose keys the table lacks; returns the table's version."""
+def ingest_new(spark: SparkSession, source: str, schema, table: AppendedTable, keys: list[str], order: str, checkpoint: str) -> None:
+    """Adds rows of new files whose keys the table lacks."""
+    _run(spark.readStream.schema(schema).parquet(source), lambda batch, _: table.add(batch, keys, order), checkpoint)
 
-    def add(batch: DataFrame, _: int) -> None:
-        now = table.read()
-        fresh = insert_or_ignore(batch.limit(0) if now is None else now, batch, keys, order)
-        table.write(fresh if now is None else now.unionByName(fresh))
 
-    _run(spark.readStream.schema(schema).parquet(source), add, checkpoint)
-    return table.version()
-
-
-def ingest_documents(spark: SparkSession, source: str, schema, table: VersionedTable, document: str, checkpoint: str) -> int:
+def ingest_documents(spark: SparkSession, source: str, schema, table: BucketedTable, checkpoint: str) -> None:
     """Replaces the documents that new files hold, each as a whole."""
-    _run(spark.readStream.schema(schema).parquet(source), lambda batch, _: table.upsert(batch, document), checkpoint)
-    return table.version()
+    _run(spark.readStream.schema(schema).parquet(source), lambda batch, _: table.upsert(batch), checkpoint)
 
 
 def _run(stream: DataFrame, each, checkpoint: str) -> None:

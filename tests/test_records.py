@@ -72,15 +72,25 @@ def test_dedup_and_store(spark):
 
 
 def test_versions_and_progress(spark, tmp_path):
-    t = store.VersionedTable(spark, f"file://{tmp_path}/t")
+    t = store.BucketedTable(spark, f"file://{tmp_path}/t", "d", 16)
     assert t.read() is None
-    one = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "d string, n int")
-    t.upsert(one, "d")
-    t.upsert(spark.createDataFrame([("a", 7)], "d string, n int"), "d")
-    assert t.version() == 2 and sorted((r.d, r.n) for r in t.read().collect()) == [("a", 7), ("b", 1)]
+    t.upsert(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 5)], "d string, n int"))
+    untouched = {f for f in t.read().inputFiles() if spark.read.parquet(f).where("d = 'a'").isEmpty()}
+    for _ in range(2):
+        t.upsert(spark.createDataFrame([("a", 7)], "d string, n int"))
+    assert sorted((r.d or "", r.n) for r in t.read().collect()) == [("", 5), ("a", 7), ("b", 1)]
+    assert untouched <= set(t.read().inputFiles())
     p = spark.createDataFrame([("31-01-2025", "completed"), ("01-02-2025", "failed"), ("03-02-2025", "completed")], "crawl_date string, status string")
     assert [(str(r.day), r.status) for r in store.missing_days(p).orderBy("day").collect()] == [("2025-02-01", "failed"), ("2025-02-02", None)]
     assert str(store.resume_day(p).first()[0]) == "2025-02-01"
+    begun = store.started_days(p, F.lit("t0"))
+    assert sorted((r.crawl_date, r.status) for r in begun.collect()) == [("01-02-2025", "running"), ("02-02-2025", "running")]
+    outcomes = spark.createDataFrame([("01-02-2025", None, None, None)], "crawl_date string, found int, added int, error string")
+    ended = {r.crawl_date: r for r in store.ended_days(begun, outcomes, F.lit("t1")).collect()}
+    assert (ended["01-02-2025"].status, ended["01-02-2025"].documents_found, ended["01-02-2025"].completed_at) == ("completed", 0, "t1")
+    assert (ended["02-02-2025"].status, ended["02-02-2025"].documents_added, ended["02-02-2025"].completed_at) == ("running", None, None)
+    bad = store.ended_days(begun, outcomes.select("crawl_date", F.lit(4).alias("found"), "added", F.lit("x" * 3000).alias("error")), F.lit("t1")).where("status = 'failed'").first()
+    assert len(bad.error) == 2000 and bad.documents_found == 4
     assert str(store.resume_day(p.where("status = 'completed'").limit(1)).first()[0]) == "2025-02-01"
 
 
@@ -181,3 +191,25 @@ def test_excerpts_follow_the_claims(spark, tmp_path):
     x = spark.createDataFrame([("One long sentence about a pump stands here. Another long sentence on सड़क is here.", t) for t in ("pump", "सड़क", "", None)], "t string, k string")
     got = [r[0] for r in x.select(text.important_text(x.t, x.k, 50)).collect()]
     assert [g[:3] for g in got] == ["One", "Ano", "One", "One"]
+
+
+def test_chunks_points_and_metadata(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", i, "x") for i in range(5)] + [("b", 0, None), (None, 0, "x")], "document_id string, chunk_index int, _rn string")
+    asked = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "document_id string")
+    assert sorted((r.document_id, r.chunk_index) for r in store.chunks_of(chunks.drop("_rn"), asked, 3).collect()) == [("a", 0), ("a", 1), ("a", 2)]
+    points = spark.createDataFrame([("p", "t", "en", [1.0, 2.0]), ("q", "t", None, [1.0, 2.0])], "point_id string, source_type string, language string, vector array<double>")
+    at = f"{tmp_path}/points"
+    assert store.ensure_loaded(spark, at, points, 2).count() == 2
+    assert store.ensure_loaded(spark, at, points.where("point_id = 'p'"), 2).count() == 2
+    wider = points.where("point_id = 'p'").withColumn("vector", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    assert store.ensure_loaded(spark, at, wider, 1).count() == 1 and store.ensure_loaded(spark, at, points, 9).count() == 2
+    given = ['{"a": {"b": [1, "x"]}, "published_at": null}', "no json", "[1]", None]
+    got = values(spark, store.with_metadata_value(F.col("x"), "published_at", F.lit('2024 "q"')), given)
+    assert [json.loads(g) for g in got] == [{"a": {"b": [1, "x"]}, "published_at": '2024 "q"'}] + [{"published_at": '2024 "q"'}] * 3
+    assert values(spark, store.with_metadata_value(F.col("x"), "k", F.lit(None).cast("string")), ["{}", None]) == ["{}", None]
+    rows = spark.createDataFrame([("a", 12.0), ("a", float("nan")), ("b", None), ("c", -3.0), ("d", 5.0)], "k string, v double")
+    from granthika.operators import analytics
+
+    assert {r.k: r.mean_confidence for r in analytics.mean_confidence(rows, "v", "k").collect()} == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.5}
+    named = text.named_entities(F.col("x"), ("screen_name", "name"))
+    assert values(spark, named, [[{"screen_name": "@a"}, {"screen_name": "", "name": "#b"}, {"other": "c"}], None], "x array<map<string,string>>") == [["a", "b"], None]

@@ -1,25 +1,26 @@
 import json
 
-from granthika.operators.store import VersionedTable
+from granthika.operators.store import AppendedTable, BucketedTable
 from granthika.sources import readers, writers
 from granthika.streaming import ingest
 
 
 def test_stream_adds_once(spark, tmp_path):
-    src, out = f"{tmp_path}/in", VersionedTable(spark, f"file://{tmp_path}/t")
+    src, out = f"{tmp_path}/in", AppendedTable(spark, f"file://{tmp_path}/t")
     a = spark.createDataFrame([(1, "r1"), (2, "r1"), (3, "r2")], "id long, release_id string")
     for part in (a, spark.createDataFrame([(4, "r2"), (5, "r3")], a.schema)):
         part.write.mode("append").parquet(src)
         ingest.ingest_new(spark, src, a.schema, out, ["release_id"], "id", f"{tmp_path}/c")
+        out.add(part, ["release_id"], "id")  # run again after a failure
     assert sorted(r.id for r in out.read().collect()) == [1, 3, 5]
 
 
 def test_stream_replaces_documents(spark, tmp_path):
-    src, out = f"{tmp_path}/in", VersionedTable(spark, f"file://{tmp_path}/t")
+    src, out = f"{tmp_path}/in", BucketedTable(spark, f"file://{tmp_path}/t", "d", 4)
     a = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "d string, n int")
     for part in (a, spark.createDataFrame([("a", 9)], a.schema)):
         part.coalesce(1).write.mode("append").parquet(src)
-        ingest.ingest_documents(spark, src, a.schema, out, "d", f"{tmp_path}/c")
+        ingest.ingest_documents(spark, src, a.schema, out, f"{tmp_path}/c")
     assert sorted((r.d, r.n) for r in out.read().collect()) == [("a", 9), ("b", 1)]
 
 
