@@ -59,6 +59,8 @@ HOT_SHARE = 10_000
 
 _PLAIN = np.arange(0x10000, dtype=np.int64)
 for _i, _c in enumerate(confusables._FROM):
+    if ord(_c) >= _PLAIN.size:
+        continue
     _PLAIN[ord(_c)] = ord(confusables._TO[_i]) if _i < len(confusables._TO) else -1
 
 
@@ -362,8 +364,8 @@ def sentence_rows(rows: DataFrame) -> DataFrame:
     }), "sentences")
 
 
-def classify(sentences: DataFrame, net: BiGru) -> DataFrame:
-    """key, n (occurrences), language, confidence, p (probabilities) and parts of each distinct sentence."""
+def classify(sentences: DataFrame, net: BiGru, inside: bool = False) -> DataFrame:
+    """key, n (occurrences), language, confidence, p (probabilities) and, if asked for, parts of each distinct sentence."""
     shared = sentences.sparkSession.sparkContext.broadcast(net)
     names = np.array(LANGUAGES)
 
@@ -372,7 +374,7 @@ def classify(sentences: DataFrame, net: BiGru) -> DataFrame:
             flat, bounds = encode(pdf["sentence"].tolist())
             found, lengths = read_positions(shared.value, flat, bounds)
             p = _means(found, bounds[:-1], lengths)
-            owner, label, size, sure = stretches(flat, bounds, found, lengths)
+            owner, label, size, sure = stretches(flat, bounds, found, lengths) if inside else [np.zeros(0, np.int64)] * 4
             own = [{"n_chars": c, "language": x, "confidence": f} for c, x, f in zip(size.tolist(), names[label].tolist(), sure.tolist())]
             cuts = np.searchsorted(owner, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "language": names[p.argmax(axis=1)], "confidence": p.max(axis=1), "p": list(p.astype(np.float32)), "parts": [own[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
@@ -381,10 +383,10 @@ def classify(sentences: DataFrame, net: BiGru) -> DataFrame:
     return distinct.mapInPandas(run, "key long, n long, language string, confidence double, p array<float>, parts array<struct<n_chars:int,language:string,confidence:double>>")
 
 
-def labelled_sentences(rows: DataFrame, net: BiGru) -> DataFrame:
-    """Every sentence of every row with what the network says of it; rows without sentences keep their line of nulls."""
+def labelled_sentences(rows: DataFrame, net: BiGru, inside: bool = False) -> DataFrame:
+    """Every sentence of every row with what ``classify`` says of it; rows without sentences keep their line of nulls."""
     sentences = sentence_rows(rows)
-    found = materialise(classify(sentences, net), "labels")
+    found = materialise(classify(sentences, net, inside), "labels")
     least = max(1_000, (found.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     hot, rest = F.broadcast(found.where(F.col("n") > least).drop("n")), found.where(F.col("n") <= least).drop("n")
     narrow = sentences.drop("sentence")
@@ -393,7 +395,7 @@ def labelled_sentences(rows: DataFrame, net: BiGru) -> DataFrame:
 
 def segments(rows: DataFrame, net: BiGru) -> DataFrame:
     """table_name, row_no, seg_no, part_no, n_chars, language, confidence: the stretches of every sentence in one language."""
-    each = labelled_sentences(rows, net).select("table_name", "row_no", "seg_no", F.posexplode("parts").alias("part_no", "x"))
+    each = labelled_sentences(rows, net, True).select("table_name", "row_no", "seg_no", F.posexplode("parts").alias("part_no", "x"))
     return each.select("table_name", "row_no", "seg_no", "part_no", "x.*")
 
 
