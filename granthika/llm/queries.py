@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +145,7 @@ def p4_cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "pib_releases").select(F.lit("pib_releases").alias("table_name"), F.col("id").alias("row_no"), F.col("title").alias("text"))
-    bodies = table(spark, sf_dir, "webscraper_output").select(F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"), F.col("content.clean_text").alias("text"))
+    bodies = spread(table(spark, sf_dir, "webscraper_output").select("record_no", "content.clean_text")).select(F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"), F.col("clean_text").alias("text"))
     return titles.unionByName(bodies)
 
 
@@ -153,7 +155,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical member of every row that has look-alikes."""
-    return confusables.canonical_members(_visible_texts(spark, sf_dir))
+    return confusables.look_alike_members(_visible_texts(spark, sf_dir)).drop("form_id")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and links of each string that has look-alikes, smallest first within its class; the string itself is a hash."""
+    c = confusables.look_alike_classes(_visible_texts(spark, sf_dir))
+    return c.groupBy("table_name", "canonical_row").agg(F.count("*").alias("n_forms"), F.sum("n_rows").alias("n_rows"), (F.sum("n_links") / 2).cast("long").alias("n_pairs"))
 
 
 # Problem 7: evaluation texts leaking into training text
@@ -219,6 +227,7 @@ QUERIES = {
     "p4_cleaned_pages": p4_cleaned_pages,
     "p5_found": p5_found,
     "p5_canonical_texts": p5_canonical_texts,
+    "p5_classes": p5_classes,
     "p7_found": p7_found,
     "p7_proximity": p7_proximity,
     "p7_leaked_items": p7_leaked_items,
@@ -242,11 +251,14 @@ def _sql_text(chars: str) -> str:
 def _look_sql(x: str) -> str:
     out = f"translate({x}, {_sql_text(confusables._FROM)}, {_sql_text(confusables._TO)})"
     for joined, plain in confusables.JOINED:
-        out = f"replace({out}, '{joined}', '{plain}')"
+        if unicodedata.name(joined).startswith("LATIN SMALL LIGATURE"):
+            out = f"replace({out}, '{joined}', '{plain}')"
     return f"nfc_normalize({out})"
 
 
 _SEEN = f"""(SELECT *, {_look_sql('text')} AS face FROM (SELECT 'pib_releases' AS table_name, id AS row_no, title AS text FROM pib_releases UNION ALL SELECT 'webscraper_output', record_no, w.content.clean_text FROM webscraper_output w) WHERE text IS NOT NULL)"""
+_CLASSES = rf"""(SELECT table_name, face, count(DISTINCT text) AS n_forms, count(*) AS n_rows, arg_min(row_no, (octet_length(encode(text)), text, row_no)) AS canonical_row,
+    arg_min(text, (octet_length(encode(text)), text, row_no)) AS canonical_text FROM {_SEEN} WHERE regexp_matches(face, '[^\s\p{{Z}}]') GROUP BY table_name, face HAVING count(DISTINCT text) > 1)"""
 _CLEAN = r"regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g')"
 
 
@@ -279,6 +291,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT l.record_no, l.line, l.line_no, c.n_docs AS hit FROM {_LINES} l LEFT JOIN {_CONFIRMED} c ON l.org = c.org AND l.form = c.form) GROUP BY record_no
         UNION ALL SELECT record_no, NULL, NULL FROM webscraper_output w WHERE w.content.raw_text IS NULL""",
     "p5_found": f"SELECT a.table_name, a.row_no AS row_a, b.row_no AS row_b FROM {_SEEN} a JOIN {_SEEN} b ON a.table_name = b.table_name AND a.face = b.face AND a.row_no < b.row_no AND a.text <> b.text",
+    "p5_canonical_texts": f"SELECT table_name, row_no, canonical_row, canonical_text, n_forms FROM {_SEEN} JOIN {_CLASSES} USING (table_name, face)",
+    "p5_classes": f"""SELECT table_name, canonical_row, n_forms, n_rows, ((n_rows * n_rows - squares) // 2)::BIGINT AS n_pairs FROM {_CLASSES} JOIN
+        (SELECT table_name, face, sum(n * n) AS squares FROM (SELECT table_name, face, text, count(*) AS n FROM {_SEEN} GROUP BY ALL) GROUP BY ALL) USING (table_name, face)""",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_LEAKS}",
     "p7_leaked_items": f"""SELECT e.item_id, e.eval_set, coalesce(n, 0) AS n_documents, coalesce(longest, 0) AS longest_run FROM eval_items e LEFT JOIN
         (SELECT item_id, count(DISTINCT doc_id) AS n, max(run) AS longest FROM {_RUNS} GROUP BY item_id) USING (item_id)""",
