@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granthika.functions.text import word_count
+from granthika.session import join_counted, materialise
 
 WORD_THRESHOLDS = (500, 750, 1000, 1500, 2000)
 SHORT_WORDS = 50
@@ -39,14 +40,16 @@ def largest(rows: DataFrame, value: str, key: str, k: int = 10) -> DataFrame:
     return rows.orderBy(F.desc(value), key).limit(k)
 
 
-def exact_duplicates(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """class_id (smallest key of the copies), n_copies and the key of each document whose text occurs more than once.
+def duplicate_classes(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """text_hash, class_id (smallest key of the copies) and n_copies of each text that occurs more than once."""
+    hashed = documents.where(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("text_hash"))
+    return hashed.groupBy("text_hash").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
 
-    Counts are taken on the hash first; only documents of repeated texts are joined back.
-    """
+
+def exact_duplicates(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """class_id, n_copies and the key of each document whose text occurs more than once; a class may hold any share of them."""
     hashed = documents.where(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("text_hash"))
-    classes = hashed.groupBy("text_hash").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return hashed.join(classes, "text_hash")
+    return join_counted(hashed, materialise(duplicate_classes(documents, key, text), "copies"), "text_hash", "n_copies")
 
 
 def has_repeated_paragraphs(text: Column) -> Column:
@@ -75,7 +78,7 @@ def report(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     names |= {f"words_over_{t}": F.count_if(F.col("word_count") > t) for t in WORD_THRESHOLDS}
     one = base.agg(*[c.cast("double").alias(k) for k, c in names.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in names]))
-    copies = exact_duplicates(documents, key, text).agg(F.countDistinct("class_id").cast("double").alias("a"), F.count("*").cast("double").alias("b"))
+    copies = duplicate_classes(documents, key, text).agg(F.count("*").cast("double").alias("a"), F.coalesce(F.sum("n_copies"), F.lit(0)).cast("double").alias("b"))
     groups = copies.select(F.explode(F.array(F.struct(F.lit("n_duplicate_groups").alias("measure"), F.col("a").alias("value")), F.struct(F.lit("n_documents_in_groups").alias("measure"), F.col("b").alias("value")))).alias("p")).select("p.*")
     return one.select(pairs.alias("p")).select("p.*").unionByName(groups)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.urls import on_whitelist
+from granthika.operators.dedup import first_by
 from granthika.session import broadcast_within, computed_once, materialise
 
 #: Query vectors scored in one pass over the corpus; more queries take more passes.
@@ -192,16 +193,16 @@ def search_text(keywords: Column) -> Column:
 
 
 def keyword_phrases(queries: DataFrame, query: str = "query_id") -> DataFrame:
-    """query, phrase, weight: each keyword with its weight, and each pair of neighbouring keywords that have words with 3.
+    """query, phrase, weight, keyword_pos (from 0, that of the first of a pair): each keyword with its weight, and each pair of neighbouring keywords that have words with 3.
 
     Phrases are lower case, with single spaces, and without what isn't a letter, mark, digit or underscore at their ends.
     """
     weighted = queries.select(query, keyword_weights(F.col("keywords")).alias("kw"))
-    single = weighted.select(query, F.explode("kw").alias("k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"))
+    single = weighted.select(query, F.posexplode("kw").alias("keyword_pos", "k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"), "keyword_pos")
     kw = lambda i: F.get("kw", i)["keyword"]
     said = F.filter(F.sequence(F.lit(1), F.size("kw") - 1), lambda i: kw(i - 1).rlike(f"[{WORD}]") & kw(i).rlike(f"[{WORD}]"))
-    pairs = F.transform(said, lambda i: F.concat(kw(i - 1), F.lit(" "), kw(i)))
-    both = single.unionByName(weighted.where(F.size("kw") > 1).select(query, F.explode(pairs).alias("phrase")).withColumn("weight", F.lit(3)))
+    pairs = F.transform(said, lambda i: F.struct(F.concat(kw(i - 1), F.lit(" "), kw(i)).alias("phrase"), F.lit(3).alias("weight"), (i - 1).alias("keyword_pos")))
+    both = single.unionByName(weighted.where(F.size("kw") > 1).select(query, F.explode(pairs).alias("p")).select(query, "p.*"))
     plain = F.regexp_replace(F.regexp_replace("phrase", r"[\s\p{Z}]+", " "), rf"^[^{WORD}]+|[^{WORD}]+$", "")
     return both.withColumn("phrase", plain).where("phrase <> ''")
 
@@ -230,23 +231,24 @@ def held_phrases(corpus: DataFrame, phrases: DataFrame, text: str = "text", item
 
 
 def relevance(corpus: DataFrame, queries: DataFrame, text: str = "text", item: str = "item_id", query: str = "query_id", least: int = 1) -> DataFrame:
-    """query, item, score: each keyword of a query that the text holds adds its weight, and each pair of neighbouring
-    keywords that stands there as a phrase adds 3; rows below ``least`` fall away. Words are those of any script.
+    """query, item, score, keyword_pos: each keyword of a query that the text holds adds its weight, and each pair of
+    neighbouring keywords that stands there as a phrase adds 3; rows below ``least`` fall away. Words are those of any
+    script; keyword_pos is that of the first keyword that the text holds.
     """
     phrases = materialise(keyword_phrases(queries, query), "phrases")
     hits = held_phrases(corpus, phrases, text, item).join(broadcast_within(phrases), "phrase")
-    return hits.groupBy(query, item).agg(F.sum("weight").cast("long").alias("score")).where(F.col("score") >= least)
+    return hits.groupBy(query, item).agg(F.sum("weight").cast("long").alias("score"), F.min("keyword_pos").alias("keyword_pos")).where(F.col("score") >= least)
 
 
-def web_evidence(candidates: DataFrame, domains: list[str], k: int = 5) -> DataFrame:
+def web_evidence(candidates: DataFrame, domains: list[str], k: int = 5, answered: DataFrame | None = None) -> DataFrame:
     """Best ``k`` web documents of each claim out of candidates (query_id, url, keyword_pos, result_pos, score, has_content).
 
-    Only whitelisted hosts; of repeated URLs the first with content counts; empty content falls away. Contents are joined
-    to the few rows that are left.
+    Only whitelisted hosts; of repeated URLs the first with content counts; empty content falls away, as do claims that
+    ``answered`` (query_id) lists because the corpus has evidence for them. Contents are joined to the few rows left.
     """
-    from granthika.operators.dedup import first_by
-
     good = candidates.where(on_whitelist(F.col("url"), domains) & F.coalesce("has_content", F.lit(False)))
+    if answered is not None:
+        good = good.join(answered.select("query_id").distinct(), "query_id", "left_anti")
     once = first_by(good, ["query_id", "url"], ["keyword_pos", "result_pos"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "keyword_pos", "result_pos")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -157,7 +157,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(_documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
-    return chunking.chunk(d).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+    return chunking.chunk(d).select("document_id", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", ids.uuid5(POINT_NAMESPACE, F.col("chunk_id")).alias("point_id"), F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
 def _release_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents; those of one source are replaced by chunks of another size."""
     d = _documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), "source")
-    keep = ("document_id", "chunk_id", "char_start", "char_end", "n_tokens")
+    keep = ("document_id", "chunk_id", "char_start", "char_end", "n_tokens", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
     target = chunking.chunk(d).select(*keep)
     batch = chunking.chunk(d.where("source = 'pib.example'"), chunking.ChunkingConfig(100, 150, 10)).select(*keep)
     return store.upsert_documents(target, batch, "document_id")

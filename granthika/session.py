@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a side that is broadcast at most, as the rows' text and numbers take them.
 MAX_BROADCAST_BYTES = 64 << 20
+#: A key is joined by broadcast if it makes up more than this share of all rows; so there are at most so many of them.
+HOT_SHARE = 10_000
 _SCRATCH: list[str] = []
 
 
@@ -153,6 +155,17 @@ def only(rows: DataFrame, key: str, wanted: DataFrame, others: DataFrame, max_by
     return rows.join(F.broadcast(wanted), key, "left_semi") if a <= b else rows.join(F.broadcast(others), key, "left_anti")
 
 
+def join_counted(rows: DataFrame, found: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``found``, which has one row a key with the number ``n`` of its rows.
+
+    Keys that make up more than a ten-thousandth of all rows are ten thousand at most and are joined by broadcast, so no
+    task gets all rows of a frequent key; the others are joined by shuffle. ``found`` is read several times.
+    """
+    least = max(1_000, (found.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    hot, rest = F.broadcast(found.where(F.col(n) > least)), found.where(F.col(n) <= least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, how))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores where its scan has fewer tasks than that; large tables have more and stay as they are.
 

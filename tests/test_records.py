@@ -127,7 +127,7 @@ def test_retrieval(spark):
         assert got == [(1, 1), (1, 6), (3, 3), (3, 1)]
     docs = spark.createDataFrame([(1, "Solar pumps for farms"), (2, "solar solar"), (3, None), (4, "")], "item_id long, text string")
     claims = spark.createDataFrame([(7, ["solar", "pumps"]), (8, [" ", "none"]), (9, None)], "query_id long, keywords array<string>")
-    assert [(r.query_id, r.item_id, r.score) for r in retrieval.relevance(docs, claims).orderBy("item_id").collect()] == [(7, 1, 6), (7, 2, 2)]
+    assert [(r.query_id, r.item_id, r.score, r.keyword_pos) for r in retrieval.relevance(docs, claims).orderBy("item_id").collect()] == [(7, 1, 6, 0), (7, 2, 2, 0)]
     hindi = spark.createDataFrame([(1, "सौर पंप योजना, c++-pumps"), (2, "सौरपंप"), (3, "solar\u00a0 pumps!"), (4, "solar, pumps solar_pumps")], "item_id long, text string")
     asked = spark.createDataFrame([(7, ["सौर", "पंप"]), (8, ["solar pumps", "C++"]), (9, ["++", "Solar"])], "query_id long, keywords array<string>")
     assert sorted((r.query_id, r.item_id, r.score) for r in retrieval.relevance(hindi, asked).collect()) == [(7, 1, 6), (8, 1, 1), (8, 3, 2), (9, 3, 1), (9, 4, 1)]
@@ -183,7 +183,7 @@ def test_excerpts_follow_the_claims(spark, tmp_path):
     page = f"{rest} The new wells of the valley were counted last week. Farmers got सौर पंप in every village of the hills. The old school roof was mended after heavy rain."
     claims = [(1, "q", ["wells", "valley"]), (2, "q", ["school roof", None]), (3, "q", ["village", "सौर पंप"]), (4, "q", ["farmers"])]
     spark.createDataFrame(claims, "query_id long, query string, keywords array<string>").write.parquet(f"{tmp_path}/claim_queries.parquet")
-    spark.createDataFrame([(7, ("https://a.example/x",), (page,))], "record_no long, source struct<source_url:string>, content struct<clean_text:string>").write.parquet(f"{tmp_path}/webscraper_output.parquet")
+    spark.createDataFrame([(7, ("https://news.pib.example/x",), (page,))], "record_no long, source struct<source_url:string>, content struct<clean_text:string>").write.parquet(f"{tmp_path}/webscraper_output.parquet")
     out = {r.query_id: r.excerpt for r in web_evidence(spark, str(tmp_path)).collect()}
     wanted = {1: "wells of the valley", 2: "school roof", 3: "सौर पंप", 4: "Farmers got"}
     assert out.keys() == wanted.keys() and all(w in out[q] and len(out[q]) <= 2100 for q, w in wanted.items())
@@ -213,3 +213,15 @@ def test_chunks_points_and_metadata(spark, tmp_path):
     assert {r.k: r.mean_confidence for r in analytics.mean_confidence(rows, "v", "k").collect()} == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.5}
     named = text.named_entities(F.col("x"), ("screen_name", "name"))
     assert values(spark, named, [[{"screen_name": "@a"}, {"screen_name": "", "name": "#b"}, {"other": "c"}], None], "x array<map<string,string>>") == [["a", "b"], None]
+
+
+def test_web_evidence_follows_the_claim(spark):
+    kind = "query_id long, url string, keyword_pos int, result_pos long, score long, has_content boolean"
+    rows = [(1, "https://a.example/x", 0, 1, 5, True), (1, "https://a.example/x", 0, 2, 9, True), (1, "https://b.other/x", 0, 3, 9, True), (1, "https://a.example/y", 1, 4, 5, True), (1, "https://a.example/z", 0, 5, 9, None), (2, "https://a.example/x", 0, 1, 5, True), (1, None, 0, 6, 7, True)]
+    found = spark.createDataFrame(rows, kind)
+    best = lambda **x: [(r.query_id, r["rank"], r.result_pos) for r in retrieval.web_evidence(found, ["a.example"], **x).orderBy("query_id", "rank").collect()]
+    assert best() == [(1, 1, 1), (1, 2, 4), (2, 1, 1)] and best(k=1) == [(1, 1, 1), (2, 1, 1)]
+    assert best(answered=spark.createDataFrame([(1,), (1,), (None,)], "query_id long")) == [(2, 1, 1)]
+    page = "Solar pumps help the farmers of the whole district here. The new bridge is open to all the traffic at last."
+    two = spark.createDataFrame([(page, "solar pumps"), (page, "bridge")], "t string, k string")
+    assert [r[0][:9] for r in two.select(text.important_text(F.col("t"), F.col("k"), 60)).collect()] == ["Solar pum", "The new b"]

@@ -53,7 +53,7 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_found_takes_all_but_the_exact_form(spark, tmp_path):
-    from granthika.plans.time_queries import p2_found
+    from granthika.plans.time_queries import p2_found, p2_in_two_loads
 
     exact, ends = "2024-01-05T10:20:30Z", ["\n", "\r\n", "\r", "\u0085", "\u2028", " ", "\n\n"]
     raws = [exact, "2024-01-05T10:20:30.5Z", *[exact + e for e in ends], "\n" + exact, "2024-01-05T10:20:30.5Z\n", None]
@@ -64,3 +64,4 @@ def test_found_takes_all_but_the_exact_form(spark, tmp_path):
     found = {(r.field_name, r.row_no): r.instant_utc for r in p2_found(spark, str(tmp_path)).collect()}
     cases = {i: f"2024-01-05T10:20:30.{'5' if '.' in r else '0'}00000Z" for i, r in enumerate(raws) if i > 1 and r is not None}
     assert found == {(f, i): t for f in ("published_at", "dates.published_at", "dates.retrieved_at") for i, t in cases.items()}
+    assert {(r.field_name, r.row_no): r.instant_utc for r in p2_in_two_loads(spark, str(tmp_path)).collect()} == found
