@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthika.llm import confusables
-from granthika.session import materialise, stored
+from granthika.session import join_counted, materialise, stored
 
 LANGUAGES = ("en", "hi", "mr", "bn", "ta", "te", "ur")
 # Other notations of the languages above.
@@ -51,8 +51,6 @@ ENDS, MIN_WORDS = ".!?।۔", 3
 TOGETHER = 512 * 512
 #: Price of a change of language inside a sentence; a word's evidence is at most FAINTEST, so a stretch needs three words.
 CHANGE, FAINTEST = 5.0, 4.0
-#: A sentence is joined by broadcast if it makes up more than this share of all; so there are at most so many of them.
-HOT_SHARE = 10_000
 
 
 # Bytes
@@ -387,10 +385,7 @@ def labelled_sentences(rows: DataFrame, net: BiGru, inside: bool = False) -> Dat
     """Every sentence of every row with what ``classify`` says of it; rows without sentences keep their line of nulls."""
     sentences = sentence_rows(rows)
     found = materialise(classify(sentences, net, inside), "labels")
-    least = max(1_000, (found.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot, rest = F.broadcast(found.where(F.col("n") > least).drop("n")), found.where(F.col("n") <= least).drop("n")
-    narrow = sentences.drop("sentence")
-    return narrow.join(hot, "key").unionByName(narrow.join(hot.select("key"), "key", "left_anti").join(rest, "key", "left"))
+    return join_counted(sentences.drop("sentence"), found, "key", "n", "left")
 
 
 def segments(rows: DataFrame, net: BiGru) -> DataFrame:
