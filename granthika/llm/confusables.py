@@ -66,10 +66,12 @@ _TO = "".join(_PAIRS.values()) + " " * len(_SPACES) + "-" * len(HYPHENS)
 
 def look(text: Column) -> Column:
     """``text`` with each character replaced by the plain one it looks like, and invisible ones removed."""
-    out = plain = F.translate(text, _FROM, _TO)
+    plain = F.translate(text, _FROM, _TO)
+    parted = plain
     for joined, letters in JOINED:
-        out = F.replace(out, F.lit(joined), F.lit(letters))
-    return F.when(plain.rlike(f"[{''.join(_SEVERAL)}]"), out).otherwise(plain)
+        parted = F.replace(parted, F.lit(joined), F.lit(letters))
+    other = F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), parted).otherwise(plain)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), other).otherwise(text)
 
 
 @F.pandas_udf(LongType())
@@ -88,8 +90,8 @@ def look_alike_members(rows: DataFrame) -> DataFrame:
     The canonical member is the one with the fewest unusual characters (shortest UTF-8, then smallest string, then row).
     """
     spark = rows.sparkSession
-    seen = rows.where(F.col("text").isNotNull() & F.col("row_no").isNotNull()).select("table_name", "row_no", "text", look(F.col("text")).alias("seen"))
-    seen.where(F.col("seen").rlike(r"[^\s\p{Z}]")).createOrReplaceTempView("granthika_seen")
+    visible = rows.where(F.col("text").rlike(rf"[^\s\p{{Z}}{INVISIBLE}]") & F.col("row_no").isNotNull())
+    visible.select("table_name", "row_no", "text", look(F.col("text")).alias("seen")).createOrReplaceTempView("granthika_seen")
     classes = spark.sql(
         """SELECT table_name, seen COLLATE UNICODE AS face, min(row_no) AS class_id FROM granthika_seen
            GROUP BY table_name, seen COLLATE UNICODE HAVING min(xxhash64(text)) <> max(xxhash64(text))"""
