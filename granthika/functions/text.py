@@ -149,7 +149,8 @@ def links_of(given: Column, text: Column) -> Column:
     """Links that a record names, then those in its text without trailing marks; each URL once. Both are arrays of {url, expanded_url}."""
     none = F.expr("cast(array() as array<struct<url:string,expanded_url:string>>)")
     own = F.filter(F.coalesce(given, none), lambda x: F.length(x["url"]) > 0)
-    seen = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://[^\s<>'\"\])]+"), F.lit(0)), lambda u: F.struct(F.regexp_replace(u, "[.,!?;:]+$", "").alias("url"), F.lit(None).cast("string").alias("expanded_url")))
+    seen = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://[^\s<>'\"\])]+"), F.lit(0)),
+        lambda u: F.struct(F.regexp_replace(u, "[.,!?;:]+$", "").alias("url"), F.lit(None).cast("string").alias("expanded_url")))
     every = F.concat(own, seen)
     names = F.transform(every, lambda x: x["url"])
     return F.filter(every, lambda x, i: F.array_position(names, x["url"]) == i + 1)
@@ -160,7 +161,8 @@ def publisher_line(text: Column, title: Column) -> Column:
     at = F.call_function("locate", title, text)
     lines = F.filter(F.transform(F.split(F.substring(text, F.lit(1), at - 1), "\n"), one_spaced), lambda x: x != "")
     # Lines that stand above every release.
-    ignored = ("government of india", "press information bureau", "press information bureau government of india", "home", "press releases", "all press release", "all releases")
+    ignored = ("government of india", "press information bureau", "press information bureau government of india", "home", "press releases",
+        "all press release", "all releases")
     own = F.filter(lines, lambda x: ~F.lower(x).isin(*ignored) & ~F.lower(x).contains("posted on:") & ~F.lower(x).rlike(r"^release\s+id\s*:?\s*\d+$"))
     return F.when(at > 1, F.try_element_at(own, F.lit(-1)))
 

@@ -69,9 +69,11 @@ def report(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """measure and value of the whole corpus: counts, distributions, thresholds, duplicates and quality marks."""
     value = F.coalesce(F.col(text), F.lit(""))
     base = measured(documents, text).select(
-        key, "character_count", "word_count", has_repeated_paragraphs(value).alias("_repeated"), has_table_like_text(value).alias("_table"), replacement_characters(value).alias("_replaced")
+        key, "character_count", "word_count", has_repeated_paragraphs(value).alias("_repeated"), has_table_like_text(value).alias("_table"),
+            replacement_characters(value).alias("_replaced")
     )
-    names = {"n_documents": F.count("*"), "n_repeated_paragraphs": F.count_if("_repeated"), "n_table_like": F.count_if("_table"), "n_replacement_characters": F.sum("_replaced"), "n_short": F.count_if(F.col("word_count") < SHORT_WORDS)}
+    names = {"n_documents": F.count("*"), "n_repeated_paragraphs": F.count_if("_repeated"), "n_table_like": F.count_if("_table"),
+        "n_replacement_characters": F.sum("_replaced"), "n_short": F.count_if(F.col("word_count") < SHORT_WORDS)}
     for column in ("character_count", "word_count"):
         names |= {f"{column}_min": F.min(column), f"{column}_mean": F.avg(column), f"{column}_max": F.max(column)}
         names |= {f"{column}_p{round(p * 100)}": F.percentile(column, F.lit(p)) for p in (0.5, 0.9, 0.95, 0.99)}
@@ -79,13 +81,15 @@ def report(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     one = base.agg(*[c.cast("double").alias(k) for k, c in names.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in names]))
     copies = duplicate_classes(documents, key, text).agg(F.count("*").cast("double").alias("a"), F.coalesce(F.sum("n_copies"), F.lit(0)).cast("double").alias("b"))
-    groups = copies.select(F.explode(F.array(F.struct(F.lit("n_duplicate_groups").alias("measure"), F.col("a").alias("value")), F.struct(F.lit("n_documents_in_groups").alias("measure"), F.col("b").alias("value")))).alias("p")).select("p.*")
+    groups = copies.select(F.explode(F.array(F.struct(F.lit("n_duplicate_groups").alias("measure"), F.col("a").alias("value")),
+        F.struct(F.lit("n_documents_in_groups").alias("measure"), F.col("b").alias("value")))).alias("p")).select("p.*")
     return one.select(pairs.alias("p")).select("p.*").unionByName(groups)
 
 
 def mean_of_valid(rows: DataFrame, value: str, *by: str, invalid: float = -1) -> DataFrame:
     """Mean over values that aren't null or the mark for none; null where there is no valid value."""
-    return rows.groupBy(*by).agg(F.avg(F.when(F.col(value) != invalid, F.col(value))).alias("mean_value"), F.count(F.when(F.col(value) != invalid, 1)).alias("n_valid"))
+    return rows.groupBy(*by).agg(F.avg(F.when(F.col(value) != invalid, F.col(value))).alias("mean_value"),
+        F.count(F.when(F.col(value) != invalid, 1)).alias("n_valid"))
 
 
 def mean_confidence(rows: DataFrame, value: str, *by: str, most: float = 10) -> DataFrame:

@@ -165,7 +165,8 @@ def chunk_spans(text: Column, parts: Column, config: ChunkingConfig, tokenizer:
     return run(text, parts)
 
 
-def chunk(documents: DataFrame, config: ChunkingConfig | None = None, content: str = "content", document_id: str = "document_id", tokenizer: Tokenizer | None = None) -> DataFrame:
+def chunk(documents: DataFrame, config: ChunkingConfig | None = None, content: str = "content", document_id: str = "document_id",
+    tokenizer: Tokenizer | None = None) -> DataFrame:
     """One row a chunk: the document's other columns, chunk_id, chunk_index, content, char_start, char_end, n_tokens and,
     where ``documents`` has ``sections``, section_id and section_heading (else null).
 
@@ -173,16 +174,20 @@ def chunk(documents: DataFrame, config: ChunkingConfig | None = None, content: s
     """
     config, text = config or ChunkingConfig(), F.col(content)
     sections = F.col("sections") if "sections" in documents.columns else F.expr("cast(null as array<struct<section_id:string,heading:string,content:string>>)")
-    kept = [c for c in documents.columns if c not in (content, "sections", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens", "section_id", "section_heading")]
+    kept = [c for c in documents.columns if c not in (content, "sections", "chunk_id", "chunk_index", "char_start", "char_end", "n_tokens",
+        "section_id", "section_heading")]
     rows = documents.where(text.isNotNull()).select(*kept, text.alias("_text"), F.filter(sections, lambda s: s["content"].isNotNull()).alias("_sections"))
     rows = rows.withColumn("_n", F.lit(None).cast("int") if tokenizer else word_count(F.col("_text")).cast("int"))
     long = F.when(F.coalesce(F.col("_n") > config.max_tokens, F.lit(True)), F.col("_text"))
     parts = F.when(long.isNotNull(), F.transform("_sections", lambda s: s["content"]))
     cut = rows.withColumn("_cut", chunk_spans(long, parts, config, tokenizer or words))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("_text").alias("end"), F.col("_n").alias("n"), F.lit(None).cast("int").alias("section"), F.col("_text").alias("content")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("_text").alias("end"), F.col("_n").alias("n"),
+        F.lit(None).cast("int").alias("section"), F.col("_text").alias("content")))
     each = cut.select(*kept, "_sections", F.posexplode(F.coalesce("_cut", whole)).alias("chunk_index", "_c"))
     own = F.when(F.col("_c.section").isNotNull(), F.get("_sections", F.col("_c.section")))
     return each.select(
-        *kept, F.concat(F.col(document_id).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", F.col("_c.content").alias("content"),
-        F.col("_c.start").alias("char_start"), F.col("_c.end").alias("char_end"), F.col("_c.n").alias("n_tokens"), own["section_id"].alias("section_id"), own["heading"].alias("section_heading"),
+        *kept, F.concat(F.col(document_id).cast("string"), F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index",
+            F.col("_c.content").alias("content"),
+        F.col("_c.start").alias("char_start"), F.col("_c.end").alias("char_end"), F.col("_c.n").alias("n_tokens"),
+            own["section_id"].alias("section_id"), own["heading"].alias("section_heading"),
     )

@@ -46,5 +46,6 @@ def best_pass(rows: DataFrame, keys: list[str], order: str, confidence: str, len
     """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     good = (F.col(confidence) >= enough) & (F.col(length) >= least)
-    tried = rows.withColumn("_stop", F.coalesce(F.max(F.coalesce(good, F.lit(False)).cast("int")).over(w), F.lit(0))).where((F.col("_stop") == 0) & (F.col(length) > 0)).drop("_stop")
+    tried = rows.withColumn("_stop", F.coalesce(F.max(F.coalesce(good, F.lit(False)).cast("int")).over(w),
+        F.lit(0))).where((F.col("_stop") == 0) & (F.col(length) > 0)).drop("_stop")
     return first_by_max(tried, keys, F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)) + F.least(F.col(length), F.lit(500)) / 50, order)

@@ -49,7 +49,8 @@ def merge_metadata(first: Column, second: Column) -> Column:
 
 def conflicting_keys(first: Column, second: Column) -> Column:
     """Keys of both maps with different values, sorted."""
-    both = F.array_intersect(F.coalesce(F.map_keys(first), F.expr("cast(array() as array<string>)")), F.coalesce(F.map_keys(second), F.expr("cast(array() as array<string>)")))
+    both = F.array_intersect(F.coalesce(F.map_keys(first), F.expr("cast(array() as array<string>)")),
+        F.coalesce(F.map_keys(second), F.expr("cast(array() as array<string>)")))
     return F.sort_array(F.filter(both, lambda k: ~F.try_element_at(first, k).eqNullSafe(F.try_element_at(second, k))))
 
 
@@ -79,9 +80,11 @@ def release_documents(releases: DataFrame) -> DataFrame:
         "id", "document_id", first_filled(F.col("_c.source_type"), m("source_type")).alias("source_type"),
         F.array_join(F.transform(sections, lambda s: s["content"]), SECTION_SEPARATOR).alias("content"),
         first_filled(F.col("url"), F.col("_c.url"), m("url")).alias("url"), F.coalesce(blank_to_null(F.col("title")), F.col("_c.title")).alias("title"),
-        blank_to_null(F.col("organization")).alias("publisher"), m("author").alias("author"), F.coalesce(F.nullif("published_at", F.lit("")), m("published_at")).alias("published_at"),
+        blank_to_null(F.col("organization")).alias("publisher"), m("author").alias("author"),
+            F.coalesce(F.nullif("published_at", F.lit("")), m("published_at")).alias("published_at"),
         first_filled(m("retrieved_at"), F.try_element_at(own, F.lit("retrieved_at"))).alias("retrieved_at"),
-        first_filled(F.col("language"), F.col("_c.language"), m("language")).alias("language"), first_filled(m("content_hash"), F.try_element_at(own, F.lit("content_hash"))).alias("content_hash"),
+        first_filled(F.col("language"), F.col("_c.language"), m("language")).alias("language"),
+            first_filled(m("content_hash"), F.try_element_at(own, F.lit("content_hash"))).alias("content_hash"),
         F.to_json(merge_metadata(own, F.col("_m"))).alias("metadata_json"), sections.alias("sections"),
         F.col("_c").isNull().alias("_no_content"), F.col("_m").isNull().alias("_no_meta"), F.size(conflicting_keys(own, F.col("_m"))).alias("_conflicts"),
     )
@@ -96,11 +99,16 @@ def release_documents(releases: DataFrame) -> DataFrame:
 def live_documents(records: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Documents of nested records of web and social pages; ``content`` is the clean text, there are no sections."""
     s, m = F.col("source"), F.col("metadata")
-    extra = F.to_json(F.struct(s["platform"].alias("platform"), s["author_handle"].alias("author_handle"), F.col("entities.hashtags").alias("hashtags"), F.col("entities.mentions").alias("mentions"), F.col("entities.urls").alias("urls"), m["authority_level"].alias("authority_level"), m["document_type"].alias("document_type")))
+    extra = F.to_json(F.struct(s["platform"].alias("platform"), s["author_handle"].alias("author_handle"),
+        F.col("entities.hashtags").alias("hashtags"), F.col("entities.mentions").alias("mentions"), F.col("entities.urls").alias("urls"),
+        m["authority_level"].alias("authority_level"), m["document_type"].alias("document_type")))
     out = records.select(
-        "record_no", F.col("doc_id").alias("document_id"), canonical_source_type(s["source_type"], aliases).alias("source_type"), s["source_type"].alias("given_source_type"),
-        F.col("content.clean_text").alias("content"), s["source_url"].alias("url"), F.col("title"), s["organization"].alias("publisher"), s["author_name"].alias("author"),
-        F.col("dates.published_at").alias("published_at"), F.col("dates.retrieved_at").alias("retrieved_at"), m["language"].alias("language"), m["content_hash"].alias("content_hash"), extra.alias("metadata_json"),
+        "record_no", F.col("doc_id").alias("document_id"), canonical_source_type(s["source_type"], aliases).alias("source_type"),
+            s["source_type"].alias("given_source_type"),
+        F.col("content.clean_text").alias("content"), s["source_url"].alias("url"), F.col("title"), s["organization"].alias("publisher"),
+            s["author_name"].alias("author"),
+        F.col("dates.published_at").alias("published_at"), F.col("dates.retrieved_at").alias("retrieved_at"), m["language"].alias("language"),
+            m["content_hash"].alias("content_hash"), extra.alias("metadata_json"),
     )
     return out.withColumn("errors", errors_of(document_checks()))
 
@@ -111,10 +119,14 @@ def social_records(posts: DataFrame) -> DataFrame:
     staged = computed_once(posts.withColumn("_clean", clean))
     return staged.select(
         F.concat(F.lit("X_"), F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("X post by @"), "author_handle").alias("title"),
-        F.struct(F.lit("X").alias("platform"), F.lit("social_media_post").alias("source_type"), F.col("url").alias("source_url"), F.col("author_name").alias("organization"), "author_handle", "author_name").alias("source"),
-        F.struct(iso_utc(social_instant(F.col("created_at"))).alias("published_at")).alias("dates"), F.struct(F.col("text").alias("raw_text"), F.col("_clean").alias("clean_text")).alias("content"),
-        F.struct(entity_names(F.col("hashtags")).alias("hashtags"), entity_names(F.col("mentions")).alias("mentions"), links_of(F.col("urls"), F.col("text")).alias("urls")).alias("entities"),
-        F.struct(F.col("lang").alias("language"), content_hash(F.col("_clean")).alias("content_hash"), F.lit("social_media_post").alias("document_type")).alias("metadata"),
+        F.struct(F.lit("X").alias("platform"), F.lit("social_media_post").alias("source_type"), F.col("url").alias("source_url"),
+            F.col("author_name").alias("organization"), "author_handle", "author_name").alias("source"),
+        F.struct(iso_utc(social_instant(F.col("created_at"))).alias("published_at")).alias("dates"),
+            F.struct(F.col("text").alias("raw_text"), F.col("_clean").alias("clean_text")).alias("content"),
+        F.struct(entity_names(F.col("hashtags")).alias("hashtags"), entity_names(F.col("mentions")).alias("mentions"),
+            links_of(F.col("urls"), F.col("text")).alias("urls")).alias("entities"),
+        F.struct(F.col("lang").alias("language"), content_hash(F.col("_clean")).alias("content_hash"),
+            F.lit("social_media_post").alias("document_type")).alias("metadata"),
     )
 
 
@@ -130,14 +142,17 @@ def release_rows(documents: DataFrame) -> DataFrame:
 
 def document_checks() -> dict[str, Column]:
     return {
-        "document_id": is_blank(F.col("document_id")), "source_type": ~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)), "content": is_blank(F.col("content")),
-        "url": ~is_http_url(F.col("url")), "retrieved_at": is_blank(F.col("retrieved_at")), "language": ~F.coalesce(F.col("language").rlike(LANGUAGE_TAG), F.lit(False)),
+        "document_id": is_blank(F.col("document_id")), "source_type": ~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False)),
+            "content": is_blank(F.col("content")),
+        "url": ~is_http_url(F.col("url")), "retrieved_at": is_blank(F.col("retrieved_at")),
+            "language": ~F.coalesce(F.col("language").rlike(LANGUAGE_TAG), F.lit(False)),
     }
 
 
 def chunk_checks() -> dict[str, Column]:
     return {
-        "chunk_id": is_blank(F.col("chunk_id")), "content": is_blank(F.col("content")), "chunk_index": F.col("chunk_index") < 0, "char_start": F.col("char_start") < 0,
+        "chunk_id": is_blank(F.col("chunk_id")), "content": is_blank(F.col("content")), "chunk_index": F.col("chunk_index") < 0,
+            "char_start": F.col("char_start") < 0,
         "char_order": F.col("char_end") < F.col("char_start"), "section_id": F.col("section_id").isNotNull() & is_blank(F.col("section_id")),
     }
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 NO_EVIDENCE = "The available sources do not contain enough information to answer this question."
 ANSWER = "answer string, citations array<int>, verdict string, confidence double, _broken string"
-FIELDS = (("Chunk ID", "chunk_id"), ("Title", "title"), ("Publisher", "publisher"), ("Author", "author"), ("URL", "url"), ("Published At", "published_at"), ("Section", "section_heading"))
+FIELDS = (("Chunk ID", "chunk_id"), ("Title", "title"), ("Publisher", "publisher"), ("Author", "author"), ("URL", "url"),
+    ("Published At", "published_at"), ("Section", "section_heading"))
 
 
 def numbered(evidence: DataFrame, claim: str, *order: Column) -> DataFrame:
@@ -17,7 +18,8 @@ def numbered(evidence: DataFrame, claim: str, *order: Column) -> DataFrame:
 
 def source_text() -> Column:
     lines = [F.concat(F.lit(f"{name}: "), F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("Unknown"))) for name, c in FIELDS]
-    return F.concat(F.lit("SOURCE "), F.col("source_number").cast("string"), F.lit("\n"), F.concat_ws("\n", *lines), F.lit("\n\nCONTENT:\n"), F.coalesce("content", F.lit("")))
+    return F.concat(F.lit("SOURCE "), F.col("source_number").cast("string"), F.lit("\n"), F.concat_ws("\n", *lines), F.lit("\n\nCONTENT:\n"),
+        F.coalesce("content", F.lit("")))
 
 
 def build_context(evidence: DataFrame, claim: str, question: str) -> DataFrame:
@@ -32,7 +34,8 @@ def resolve_citations(answers: DataFrame, evidence: DataFrame, claim: str) -> Da
     """Cited numbers (``citations`` of each claim) joined to the evidence: the first mention of each number counts, and
     numbers without evidence fall away. Adds citation_position from 0.
     """
-    cited = answers.select(claim, F.posexplode("citations").alias("citation_position", "source_number")).groupBy(claim, "source_number").agg(F.min("citation_position").alias("citation_position"))
+    cited = answers.select(claim, F.posexplode("citations").alias("citation_position", "source_number")).groupBy(claim,
+        "source_number").agg(F.min("citation_position").alias("citation_position"))
     return cited.join(evidence, [claim, "source_number"])
 
 
@@ -42,15 +45,18 @@ def validated_answers(raw: DataFrame, evidence: DataFrame, claim: str, output: s
     """
     parsed = F.from_json(output, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     rows = raw.select(claim, parsed.alias("a"))
-    known = resolve_citations(rows.select(claim, F.col("a.citations").alias("citations")), evidence, claim).groupBy(claim).agg(F.sort_array(F.collect_list("source_number")).alias("resolved"))
+    known = resolve_citations(rows.select(claim, F.col("a.citations").alias("citations")), evidence,
+        claim).groupBy(claim).agg(F.sort_array(F.collect_list("source_number")).alias("resolved"))
     any_evidence = evidence.select(claim).distinct().withColumn("_has", F.lit(True))
     joined = rows.join(known, claim, "left").join(any_evidence, claim, "left")
     bad = F.col("a._broken").isNotNull() | F.col("a.answer").isNull() | F.col("a.verdict").isNull() | F.col("a.confidence").isNull()
     none = F.col("_has").isNull() | (F.coalesce(F.size("a.citations") > 0, F.lit(False)) & F.col("resolved").isNull())
     empty = F.expr("cast(array() as array<int>)")
     return joined.select(
-        claim, F.when(none, F.lit(NO_EVIDENCE)).otherwise(F.when(~bad, F.col("a.answer"))).alias("answer"), F.when(none | bad, empty).otherwise(F.coalesce("resolved", empty)).alias("citations"),
-        F.when(none, "Unverifiable").otherwise(F.when(~bad, F.col("a.verdict"))).alias("verdict"), F.when(none, 0.0).otherwise(F.when(~bad, F.col("a.confidence"))).alias("confidence"),
+        claim, F.when(none, F.lit(NO_EVIDENCE)).otherwise(F.when(~bad, F.col("a.answer"))).alias("answer"),
+            F.when(none | bad, empty).otherwise(F.coalesce("resolved", empty)).alias("citations"),
+        F.when(none, "Unverifiable").otherwise(F.when(~bad, F.col("a.verdict"))).alias("verdict"),
+            F.when(none, 0.0).otherwise(F.when(~bad, F.col("a.confidence"))).alias("confidence"),
         F.when(~none & bad, F.lit("malformed output")).alias("error"),
     )
 

@@ -101,7 +101,8 @@ def articles(texts: DataFrame, key: str, markers: tuple[str, ...] = MARKERS) ->
     whole = each.groupBy(key, "n").agg((F.sum("_n") + F.count("*")).alias("size"), *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(len(markers))])
     kind = F.coalesce(*[F.when(F.col("n.tag") == t, score) for t, score in CONTAINERS.items()])
     good = whole.where((F.col("size") > LEAST_TEXT) & F.array_min(F.array(F.lit(True), *[F.col(f"_m{i}") for i in range(len(markers))])))
-    return good.groupBy(key).agg(F.max(F.struct(kind.alias("kind"), F.col("n.depth").alias("depth"), (-F.col("n.no")).alias("no"), F.col("n.no").alias("own")))["own"].alias("article"))
+    return good.groupBy(key).agg(F.max(F.struct(kind.alias("kind"), F.col("n.depth").alias("depth"), (-F.col("n.no")).alias("no"),
+        F.col("n.no").alias("own")))["own"].alias("article"))
 
 
 def article_texts(pages: DataFrame, key: str, html: str = "html", markers: tuple[str, ...] = MARKERS) -> DataFrame:
@@ -128,13 +129,16 @@ def blocks_of(texts: DataFrame, key: str) -> DataFrame:
     placed = computed_once(texts.select(key, "pos", "text", "path", block.alias("b")).where("b is not null")).withColumn("below", after("path", F.col("b.no")))
     item = F.get(F.filter("below", lambda n: n["tag"] == "li"), F.lit(0))
     told = computed_once(placed.select(
-        key, "pos", "text", F.col("b.no").alias("no"), F.col("b.tag").alias("name"), last("below", "tr")["no"].alias("tr"), last("below", "td", "th")["no"].alias("td"), item.alias("li"),
+        key, "pos", "text", F.col("b.no").alias("no"), F.col("b.tag").alias("name"), last("below", "tr")["no"].alias("tr"),
+            last("below", "td", "th")["no"].alias("td"), item.alias("li"),
         F.exists("below", lambda n: n["tag"].isin("ul", "ol") & (n["no"] > item["no"])).alias("deeper"),
     ))
     table, listed = F.col("name") == "table", F.col("name").isin("ul", "ol")
     own = told.where(~table & ~listed | table & F.col("td").isNotNull() | listed & F.col("li").isNotNull() & ~F.coalesce("deeper", F.lit(False)))
-    parts = own.withColumns({"row": F.when(table, F.coalesce("tr", F.lit(0))).when(listed, F.col("li.no")).otherwise(0), "cell": F.when(table, F.col("td")).otherwise(0), "nth": F.when(listed, F.col("li.nth"))})
-    joined = lambda order, text, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("_v")))), lambda x: x["_v"]), sep)
+    parts = own.withColumns({"row": F.when(table, F.coalesce("tr", F.lit(0))).when(listed, F.col("li.no")).otherwise(0),
+        "cell": F.when(table, F.col("td")).otherwise(0), "nth": F.when(listed, F.col("li.nth"))})
+    joined = lambda order, text, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("_v")))),
+        lambda x: x["_v"]), sep)
     cells = parts.groupBy(key, "no", "name", "row", "nth", "cell").agg(joined("pos", "text", " ").alias("_t"))
     even = cells.withColumn("_t", F.when(table | listed, one_spaced(F.col("_t"))).otherwise(F.col("_t"))).where("_t <> ''")
     rows = even.groupBy(key, "no", "name", "row", "nth").agg(joined("cell", "_t", " | ").alias("_t"))
@@ -159,7 +163,8 @@ def _cleaned(texts: DataFrame, key: str) -> DataFrame:
 def is_page_metadata(text: Column) -> Column:
     """Lines that name the release or its publisher, and say nothing else."""
     low = F.lower(one_spaced(text))
-    return low.rlike(r"^release\s+id\s*:\s*\d+$") | low.rlike(r"^posted\s+on\s*:\s*.+\s+by\s+pib$") | low.isin("government of india", "press information bureau", "press information bureau government of india")
+    return low.rlike(r"^release\s+id\s*:\s*\d+$") | low.rlike(r"^posted\s+on\s*:\s*.+\s+by\s+pib$") | low.isin("government of india",
+        "press information bureau", "press information bureau government of india")
 
 
 def titles(blocks: DataFrame, key: str) -> DataFrame:
@@ -188,10 +193,12 @@ def page_documents(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     dated = with_release_instant(with_release_instant(said, "_posted", "_on_page"), "published_at", "_on_index")
     lone = F.array(F.struct(F.lit(1).alias("section_no"), F.lit(MAIN).alias("heading"), clean_block(F.col("_text")).alias("content")))
     document = F.concat(F.lit("PIB-"), F.col("_id"))
-    section = lambda s: F.struct(F.concat(document, F.format_string("-S%02d", s["section_no"])).alias("section_id"), s["heading"].alias("heading"), s["content"].alias("content"))
+    section = lambda s: F.struct(F.concat(document, F.format_string("-S%02d", s["section_no"])).alias("section_id"), s["heading"].alias("heading"),
+        s["content"].alias("content"))
     return dated.select(
         key, document.alias("document_id"), F.col("_id").alias("release_id"), F.lit("web_page").alias("source_type"), "url", F.col("_title").alias("title"),
-        F.coalesce("_on_page", "_on_index").alias("published_at"), F.coalesce(blank_to_null(publisher_line(F.col("_text"), F.col("_title"))), F.lit(PUBLISHER)).alias("organization"),
+        F.coalesce("_on_page", "_on_index").alias("published_at"),
+            F.coalesce(blank_to_null(publisher_line(F.col("_text"), F.col("_title"))), F.lit(PUBLISHER)).alias("organization"),
         script_language(F.col("_text")).alias("language"), F.coalesce("has_tables", F.lit(False)).alias("has_tables"),
         F.transform(F.coalesce("_sections", lone), section).alias("sections"),
     )
@@ -242,5 +249,6 @@ def release_links(links: DataFrame, page: str, template: str, host_text: str = "
     """
     number = F.coalesce(release_number(F.col("href")), release_number(F.col("onclick")))
     url = F.when(F.col("href").rlike("(?i)^https?://") & release_number(F.col("href")).isNotNull(), F.col("href")).otherwise(F.concat(F.lit(template), number))
-    good = links.select(page, "pos", F.col("text").alias("title"), number.alias("release_number"), url.alias("url")).where(F.col("release_number").isNotNull() & F.contains(F.lower("url"), F.lit(host_text.lower())))
+    good = links.select(page, "pos", F.col("text").alias("title"), number.alias("release_number"),
+        url.alias("url")).where(F.col("release_number").isNotNull() & F.contains(F.lower("url"), F.lit(host_text.lower())))
     return last_by(good, ["release_number"], [page, "pos"]).select("release_number", "url", "title")

@@ -44,7 +44,8 @@ def top_by(scored: DataFrame, query: str, item: str, k: int, score: str = "score
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_top(corpus: DataFrame, queries: DataFrame, k: int = 20, item: str = "item_id", query: str = "query_id", vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
+def dense_top(corpus: DataFrame, queries: DataFrame, k: int = 20, item: str = "item_id", query: str = "query_id", vector: str = "vector",
+    block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top ``k`` of each query over all corpus rows.
 
     Queries are taken in blocks of at most ``block`` vectors, each block one pass: a task scores its rows against the
@@ -54,7 +55,8 @@ def dense_top(corpus: DataFrame, queries: DataFrame, k: int = 20, item: str = "i
     for own in _blocks(queries.where(F.col(vector).isNotNull()), query, block):
         rows = [r for r in own.select(query, vector).orderBy(query).collect() if any(r[1])]
         if rows:
-            parts.append(corpus.where(F.col(vector).isNotNull()).select(item, vector).mapInPandas(_scorer(corpus.sparkSession, rows, k, item, query, vector), f"{query} long, {item} long, score double"))
+            parts.append(corpus.where(F.col(vector).isNotNull()).select(item,
+                vector).mapInPandas(_scorer(corpus.sparkSession, rows, k, item, query, vector), f"{query} long, {item} long, score double"))
     return _best_of(parts, corpus.sparkSession, query, item, k)
 
 
@@ -101,7 +103,8 @@ def token_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
 
 
-def sparse_top(corpus: DataFrame, query_tokens: DataFrame, k: int = 20, text: str = "text", item: str = "item_id", query: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+def sparse_top(corpus: DataFrame, query_tokens: DataFrame, k: int = 20, text: str = "text", item: str = "item_id", query: str = "query_id",
+    block: int = QUERY_BLOCK) -> DataFrame:
     """Top ``k`` by the dot product of word counts and the queries' token weights (query, token, weight).
 
     A task scores its texts against the broadcast query weights and keeps k rows a query and Arrow batch, so neither words
@@ -112,14 +115,16 @@ def sparse_top(corpus: DataFrame, query_tokens: DataFrame, k: int = 20, text: st
         rows = own.select(query, "token", "weight").orderBy(query, "token").toPandas()
         if len(rows):
             words = F.split(F.lower(text), r"[\s\p{Z}]+").alias("words")
-            parts.append(corpus.where(F.col(text).isNotNull()).select(item, words).mapInArrow(_sparse_scorer(corpus.sparkSession, rows, k, item, query), f"{query} long, {item} long, score double"))
+            parts.append(corpus.where(F.col(text).isNotNull()).select(item,
+                words).mapInArrow(_sparse_scorer(corpus.sparkSession, rows, k, item, query), f"{query} long, {item} long, score double"))
     return _best_of(parts, corpus.sparkSession, query, item, k)
 
 
 def _sparse_scorer(spark, rows: pd.DataFrame, k: int, item: str, query: str):
     queries, own = np.unique(rows[query].to_numpy(), return_inverse=True)
     tokens, column = np.unique(rows["token"].to_numpy(object), return_inverse=True)
-    shared = spark.sparkContext.broadcast((queries, tokens, own[np.argsort(column, kind="stable")], rows["weight"].to_numpy()[np.argsort(column, kind="stable")], np.append(0, np.cumsum(np.bincount(column)))))
+    shared = spark.sparkContext.broadcast((queries, tokens, own[np.argsort(column, kind="stable")],
+        rows["weight"].to_numpy()[np.argsort(column, kind="stable")], np.append(0, np.cumsum(np.bincount(column)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vocabulary, owner, weight, starts = shared.value
@@ -136,12 +141,14 @@ def _sparse_scorer(spark, rows: pd.DataFrame, k: int, item: str, query: str):
                 doc, token = pair // vocabulary.size, pair % vocabulary.size
                 held = starts[token + 1] - starts[token]
                 at = np.repeat(starts[token] - np.append(0, np.cumsum(held)[:-1]), held) + np.arange(held.sum())
-                scores = np.bincount(owner[at] * batch.num_rows + np.repeat(doc, held), weights=weight[at] * np.repeat(n, held), minlength=ids.size * batch.num_rows).reshape(ids.size, -1)
+                scores = np.bincount(owner[at] * batch.num_rows + np.repeat(doc, held), weights=weight[at] * np.repeat(n, held),
+                    minlength=ids.size * batch.num_rows).reshape(ids.size, -1)
                 items = batch.column(0).to_numpy(zero_copy_only=False)
                 order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, 1)
                 q, place = np.nonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(items[order[q, place]], pa.int64()), pa.array(best[q, place])], [query, item, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(items[order[q, place]], pa.int64()),
+                    pa.array(best[q, place])], [query, item, "score"])
 
     return run
 
@@ -154,7 +161,8 @@ def fuse(branches: list[DataFrame], k: int = 5, item: str = "item_id", query: st
     return top_by(ranks.groupBy(query, item).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score")), query, item, k)
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, text: str, k: int = 5, prefetch: int = 20, source_type: str | None = None, language: str | None = None, embed=None) -> DataFrame:
+def hybrid(corpus: DataFrame, queries: DataFrame, text: str, k: int = 5, prefetch: int = 20, source_type: str | None = None,
+    language: str | None = None, embed=None) -> DataFrame:
     """Dense and sparse branch over the filtered corpus (item_id, text), fused; ``embed`` maps texts to vectors."""
     own = filtered(corpus, source_type, language)
     embed = embed or hashed_vectors
@@ -198,7 +206,8 @@ def keyword_phrases(queries: DataFrame, query: str = "query_id") -> DataFrame:
     Phrases are lower case, with single spaces, and without what isn't a letter, mark, digit or underscore at their ends.
     """
     weighted = queries.select(query, keyword_weights(F.col("keywords")).alias("kw"))
-    single = weighted.select(query, F.posexplode("kw").alias("keyword_pos", "k")).select(query, F.col("k.keyword").alias("phrase"), F.col("k.weight").alias("weight"), "keyword_pos")
+    single = weighted.select(query, F.posexplode("kw").alias("keyword_pos", "k")).select(query, F.col("k.keyword").alias("phrase"),
+        F.col("k.weight").alias("weight"), "keyword_pos")
     kw = lambda i: F.get("kw", i)["keyword"]
     said = F.filter(F.sequence(F.lit(1), F.size("kw") - 1), lambda i: kw(i - 1).rlike(f"[{WORD}]") & kw(i).rlike(f"[{WORD}]"))
     pairs = F.transform(said, lambda i: F.struct(F.concat(kw(i - 1), F.lit(" "), kw(i)).alias("phrase"), F.lit(3).alias("weight"), (i - 1).alias("keyword_pos")))
@@ -219,7 +228,8 @@ def held_phrases(corpus: DataFrame, phrases: DataFrame, text: str = "text", item
     longest = own.agg(F.max("_n")).first()[0] or 1
     lower = F.regexp_replace(F.lower(text), r"[\s\p{Z}]+", " ")
     plain = computed_once(corpus.where(F.col(text).isNotNull()).select(item, lower.alias("_t")))
-    words = computed_once(plain.select(item, *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(n) for n, p in (("_w", f"[{WORD}]+"), ("_u", f"[{WORD}]+[^{WORD}]*"))]))
+    words = computed_once(plain.select(item, *[F.regexp_extract_all("_t", F.lit(p), F.lit(0)).alias(n) for n,
+        p in (("_w", f"[{WORD}]+"), ("_u", f"[{WORD}]+[^{WORD}]*"))]))
     at = F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.alias("i")))
     if len(firsts) <= MAX_FIRST_WORDS:
         at = F.filter(at, lambda x: x["word"].isin(firsts))

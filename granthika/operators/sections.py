@@ -24,7 +24,8 @@ def infer_sections(blocks: DataFrame, key: str, prefix: Column | None = None) ->
     """key, section_no (from 1), section_id, heading, content of block rows (key, pos, name, text); ids are ``prefix-Snn``."""
     tagged = F.col("name").isin(*HEADING_TAGS)
     short = F.size(F.split("_name", r"\s+")) <= MAX_HEADING_WORDS
-    marked = computed_once(blocks.withColumn("_name", heading_name(F.col("text")))).withColumn("_heading", F.when(tagged | ((F.col("name") == "p") & is_heading(F.col("text")) & short), F.col("_name"))).where("_heading is null or _heading <> ''")
+    marked = computed_once(blocks.withColumn("_name", heading_name(F.col("text")))).withColumn("_heading",
+        F.when(tagged | ((F.col("name") == "p") & is_heading(F.col("text")) & short), F.col("_name"))).where("_heading is null or _heading <> ''")
     page = Window.partitionBy(key).orderBy("pos")
     before = F.coalesce(F.last("_heading", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(MAIN))
     starts = marked.withColumn("_new", (F.col("_heading").isNotNull() & (F.lower("_heading") != F.lower(before))).cast("int"))
@@ -35,7 +36,8 @@ def infer_sections(blocks: DataFrame, key: str, prefix: Column | None = None) ->
     )
     filled = grouped.where(F.size("_texts") > 0).withColumn("section_no", F.row_number().over(Window.partitionBy(key).orderBy("_section")))
     number = F.format_string("-S%02d", "section_no")
-    return filled.select(key, "section_no", F.concat(F.col(key).cast("string") if prefix is None else prefix, number).alias("section_id"), "heading", F.array_join(F.transform("_texts", lambda x: x["text"]), "\n\n").alias("content"))
+    return filled.select(key, "section_no", F.concat(F.col(key).cast("string") if prefix is None else prefix, number).alias("section_id"), "heading",
+        F.array_join(F.transform("_texts", lambda x: x["text"]), "\n\n").alias("content"))
 
 
 def has_tables(blocks: DataFrame, key: str) -> DataFrame:

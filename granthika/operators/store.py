@@ -32,7 +32,8 @@ def fill_missing(target: DataFrame, repairs: DataFrame, key: str, column: str) -
     other = repairs.select(F.col(key), F.col(column).alias("_repair")).where(F.col("_repair").isNotNull() & (F.col("_repair") != ""))
     empty = F.col(column).isNull() | (F.col(column) == "")
     joined = target.join(other, key, "left")
-    return joined.withColumns({"repaired": empty & F.col("_repair").isNotNull(), column: F.when(empty, F.coalesce("_repair", F.col(column))).otherwise(F.col(column))}).drop("_repair")
+    return joined.withColumns({"repaired": empty & F.col("_repair").isNotNull(),
+        column: F.when(empty, F.coalesce("_repair", F.col(column))).otherwise(F.col(column))}).drop("_repair")
 
 
 def upsert_documents(target: DataFrame, batch: DataFrame, document: str) -> DataFrame:
@@ -50,7 +51,8 @@ def latest_state(events: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def completed_days(progress: DataFrame) -> DataFrame:
-    return progress.where(F.col("status") == "completed").select(F.try_to_timestamp("crawl_date", F.lit(DAY)).cast("date").alias("day")).where("day is not null").distinct()
+    return progress.where(F.col("status") == "completed").select(F.try_to_timestamp("crawl_date",
+        F.lit(DAY)).cast("date").alias("day")).where("day is not null").distinct()
 
 
 def missing_days(progress: DataFrame) -> DataFrame:
@@ -58,13 +60,15 @@ def missing_days(progress: DataFrame) -> DataFrame:
     listed = progress.select(F.try_to_timestamp("crawl_date", F.lit(DAY)).cast("date").alias("day"), "status").where("day is not null")
     span = listed.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
     days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    return days.join(completed_days(progress), "day", "left_anti").join(listed.where("status <> 'completed'"), "day", "left").groupBy("day").agg(F.max("status").alias("status"))
+    return days.join(completed_days(progress), "day", "left_anti").join(listed.where("status <> 'completed'"), "day",
+        "left").groupBy("day").agg(F.max("status").alias("status"))
 
 
 def resume_day(progress: DataFrame) -> DataFrame:
     """One row: the first day that isn't completed, or the day after the last."""
     listed = progress.select(F.try_to_timestamp("crawl_date", F.lit(DAY)).cast("date").alias("day")).agg(F.max("day").alias("last"))
-    return missing_days(progress).agg(F.min("day").alias("first")).crossJoin(F.broadcast(listed)).select(F.coalesce("first", F.date_add("last", 1)).alias("resume_day"))
+    return missing_days(progress).agg(F.min("day").alias("first")).crossJoin(F.broadcast(listed)).select(F.coalesce("first",
+        F.date_add("last", 1)).alias("resume_day"))
 
 
 def chunks_of(chunks: DataFrame, documents: DataFrame, limit: int = 1000, document: str = "document_id", order: str = "chunk_index") -> DataFrame:
@@ -84,7 +88,8 @@ def with_metadata_value(metadata: Column, key: str, value: Column) -> Column:
 def started_days(progress: DataFrame, at: Column) -> DataFrame:
     """An event ``running`` for each day that isn't completed: missing ones, failed ones, and those that broke off while running."""
     day = F.date_format("day", "dd-MM-yyyy").alias("crawl_date")
-    return missing_days(progress).select(day, F.lit("running").alias("status"), at.alias("started_at"), *[F.lit(None).cast(t).alias(c) for c, t in (("completed_at", "string"), ("documents_found", "int"), ("documents_added", "int"), ("error", "string"))])
+    return missing_days(progress).select(day, F.lit("running").alias("status"), at.alias("started_at"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("completed_at", "string"), ("documents_found", "int"), ("documents_added", "int"), ("error", "string"))])
 
 
 def ended_days(started: DataFrame, outcomes: DataFrame, at: Column, longest_error: int = 2000) -> DataFrame:
@@ -95,7 +100,8 @@ def ended_days(started: DataFrame, outcomes: DataFrame, at: Column, longest_erro
     joined = started.join(o, "crawl_date", "left")
     ended, failed = F.col("_ended").isNotNull(), F.col("_error").isNotNull()
     return joined.select(
-        "crawl_date", F.when(~ended, F.col("status")).when(failed, "failed").otherwise("completed").alias("status"), "started_at", F.when(ended, at).alias("completed_at"),
+        "crawl_date", F.when(~ended, F.col("status")).when(failed, "failed").otherwise("completed").alias("status"), "started_at",
+            F.when(ended, at).alias("completed_at"),
         *[F.when(ended, F.coalesce(c, F.lit(0))).cast("int").alias(f"documents_{c}") for c in ("found", "added")], F.col("_error").alias("error"),
     )
 

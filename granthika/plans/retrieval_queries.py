@@ -21,7 +21,8 @@ CHUNKS_A_DOCUMENT = 1_000_000
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("language"), "source_type", "source", "organization")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("language"), "source_type",
+        "source", "organization")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +78,10 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered evidence of each claim: its five best documents by shared words."""
     best = _sparse(spark, sf_dir, k=5)
     rows = best.join(_corpus(spark, sf_dir), "item_id").select(
-        "query_id", F.col("rank").alias("source_number"), "item_id", F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.lit(None).cast("string").alias("title"), F.col("organization").alias("publisher"),
-        F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("published_at"), F.lit(None).cast("string").alias("section_heading"), F.col("text").alias("content"),
+        "query_id", F.col("rank").alias("source_number"), "item_id", F.concat(F.col("item_id").cast("string"), F.lit(":0")).alias("chunk_id"),
+            F.lit(None).cast("string").alias("title"), F.col("organization").alias("publisher"),
+        F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("published_at"),
+            F.lit(None).cast("string").alias("section_heading"), F.col("text").alias("content"),
     )
     return materialise(rows, "evidence")
 
@@ -89,18 +92,22 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _evidence(spark, sf_dir).join(_questions(spark, sf_dir), "query_id")
-    return evidence.build_context(joined, "query_id", "question").select("query_id", F.md5(F.encode("context", "UTF-8")).alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+    return evidence.build_context(joined, "query_id", "question").select("query_id", F.md5(F.encode("context", "UTF-8")).alias("context_md5"),
+        F.length("context").cast("long").alias("n_chars"))
 
 
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = _claims(spark, sf_dir).select("query_id", F.array((F.col("query_id") % 3 + 1).cast("int"), F.lit(2), (F.col("query_id") % 3 + 1).cast("int"), F.lit(9)).alias("citations"))
+    cited = _claims(spark, sf_dir).select("query_id",
+        F.array((F.col("query_id") % 3 + 1).cast("int"), F.lit(2), (F.col("query_id") % 3 + 1).cast("int"), F.lit(9)).alias("citations"))
     return evidence.resolve_citations(cited, _evidence(spark, sf_dir), "query_id").select("query_id", "source_number", "citation_position", "chunk_id")
 
 
 def _chunk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered evidence of each claim: its five best chunks of the releases, with their title, URL, date and section."""
-    d = _release_texts(spark, sf_dir).select("document_id", "title", "url", "published_at", F.col("organization").alias("publisher"), F.lit(None).cast("string").alias("author"), "content", "sections")
-    chunks = materialise(chunking.chunk(d, chunking.ChunkingConfig(120, 160, 20)).withColumn("item_id", F.col("document_id") * CHUNKS_A_DOCUMENT + F.col("chunk_index")), "chunks")
+    d = _release_texts(spark, sf_dir).select("document_id", "title", "url", "published_at", F.col("organization").alias("publisher"),
+        F.lit(None).cast("string").alias("author"), "content", "sections")
+    chunks = materialise(chunking.chunk(d, chunking.ChunkingConfig(120, 160, 20)).withColumn("item_id",
+        F.col("document_id") * CHUNKS_A_DOCUMENT + F.col("chunk_index")), "chunks")
     tokens = retrieval.token_weights(_keyword_text(_claims(spark, sf_dir)), "query_id", "text")
     best = retrieval.sparse_top(chunks, tokens, 5, text="content")
     return materialise(broadcast_within(best.select("query_id", "item_id", F.col("rank").alias("source_number"))).join(chunks, "item_id"), "chunk-evidence")
@@ -109,7 +116,8 @@ def _chunk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each claim out of chunks of releases."""
     joined = _chunk_evidence(spark, sf_dir).join(_questions(spark, sf_dir), "query_id")
-    return evidence.build_context(joined, "query_id", "question").select("query_id", F.md5(F.encode("context", "UTF-8")).alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+    return evidence.build_context(joined, "query_id", "question").select("query_id", F.md5(F.encode("context", "UTF-8")).alias("context_md5"),
+        F.length("context").cast("long").alias("n_chars"))
 
 
 def quoting(contexts: list[str]) -> list[str]:
@@ -132,7 +140,8 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "webscraper_output").select(F.col("record_no").alias("item_id"), F.col("source.source_url").alias("url"), F.col("content.clean_text").alias("text"))
+    return table(spark, sf_dir, "webscraper_output").select(F.col("record_no").alias("item_id"), F.col("source.source_url").alias("url"),
+        F.col("content.clean_text").alias("text"))
 
 
 def _web_best(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
@@ -163,7 +172,8 @@ def paired_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    dense_topk, sparse_topk, keyword_relevance, relevant_documents, filtered_fusion, hybrid_evidence, search_texts, claim_contexts, resolved_citations, chunk_contexts, generated_answers, web_ranking, web_evidence, paired_verdicts,
+    dense_topk, sparse_topk, keyword_relevance, relevant_documents, filtered_fusion, hybrid_evidence, search_texts, claim_contexts,
+        resolved_citations, chunk_contexts, generated_answers, web_ranking, web_evidence, paired_verdicts,
 )}
 
 _TOP = lambda scored, k: f"(SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM {scored} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= {k})"
@@ -177,7 +187,9 @@ def _sparse_sql(where: str = "true", k: int = 20) -> str:
 
 _KW = "(SELECT query_id, list_filter(list_transform(keywords, lambda k: lower(trim(k))), lambda k: k <> '') AS kw FROM claim_queries)"
 _PHRASES = f"""(SELECT query_id, unnest(kw) AS phrase, len(kw) - generate_subscripts(kw, 1) + 1 AS weight, generate_subscripts(kw, 1) - 1 AS keyword_pos FROM {_KW}
-    UNION ALL SELECT query_id, kw[i] || ' ' || kw[i + 1], 3, i - 1 FROM (SELECT query_id, kw, unnest(list_filter(range(1, len(kw)), lambda i: regexp_matches(kw[i], '[{retrieval.WORD}]') AND regexp_matches(kw[i + 1], '[{retrieval.WORD}]'))) AS i FROM {_KW} WHERE len(kw) > 1))"""
+    UNION ALL SELECT query_id, kw[i] || ' ' || kw[i + 1], 3, i - 1
+    FROM (SELECT query_id, kw, unnest(list_filter(range(1, len(kw)), lambda i: regexp_matches(kw[i], '[{retrieval.WORD}]')
+    AND regexp_matches(kw[i + 1], '[{retrieval.WORD}]'))) AS i FROM {_KW} WHERE len(kw) > 1))"""
 
 
 def _relevance_sql(where: str = "true", source: str = "(SELECT doc_id AS item_id, text, lang FROM documents)") -> str:
@@ -212,10 +224,14 @@ ORACLE = {
     "relevant_documents": f"SELECT query_id, count(*) AS n_documents, max(score) AS best_score FROM {_relevance_sql()} WHERE score >= 2 GROUP BY query_id",
     "web_ranking": f"SELECT query_id, rank, url, score, keyword_pos::INTEGER AS keyword_pos, item_id AS record_no FROM {_web_sql()}",
     "paired_verdicts": f"""SELECT query_id, '{{"claim":' || query_id || ',"corpus":{{"item_id":' || a.item_id || ',"score":' || a.score::BIGINT || '}},"live_web":{{"url":' || to_json(b.url)::VARCHAR || ',"score":' || b.score || '}}}}' AS payload
-        FROM {_sparse_sql(k=1)} a JOIN (SELECT query_id, arg_min(url, (-score, keyword_pos, item_id)) AS url, max(score) AS score FROM {_web_once()} GROUP BY query_id) b USING (query_id)""",
+        FROM {_sparse_sql(k=1)} a JOIN (SELECT query_id, arg_min(url, (-score, keyword_pos, item_id)) AS url, max(score) AS score FROM {_web_once()}
+        GROUP BY query_id) b USING (query_id)""",
     "search_texts": f"""SELECT query_id, array_to_string(list_transform(CASE WHEN len(list_filter(kw, lambda k: contains(k, ' '))) > 0 THEN list_filter(kw, lambda k: contains(k, ' ')) ELSE kw END, lambda k: '"' || k || '"'), ' OR ') AS search_text FROM {_KW}""",
-    "claim_contexts": f"""SELECT query_id, md5(c) AS context_md5, length(c) AS n_chars FROM (SELECT e.query_id, 'USER QUESTION:' || chr(10) || any_value(q.query) || chr(10) || chr(10) || 'RETRIEVED SOURCES:' || chr(10) || chr(10) || string_agg(
-        'SOURCE ' || source_number || chr(10) || 'Chunk ID: ' || item_id || ':0' || chr(10) || 'Title: Unknown' || chr(10) || 'Publisher: ' || coalesce(nullif(organization, ''), 'Unknown') || chr(10) || 'Author: Unknown' || chr(10) || 'URL: Unknown' || chr(10) ||
-        'Published At: Unknown' || chr(10) || 'Section: Unknown' || chr(10) || chr(10) || 'CONTENT:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY source_number) AS c FROM {_EV} e JOIN claim_queries q USING (query_id) GROUP BY e.query_id)""",
+    "claim_contexts": f"""SELECT query_id, md5(c) AS context_md5, length(c) AS n_chars FROM (SELECT e.query_id, 'USER QUESTION:' || chr(10)
+        || any_value(q.query) || chr(10) || chr(10) || 'RETRIEVED SOURCES:' || chr(10) || chr(10) || string_agg(
+        'SOURCE ' || source_number || chr(10) || 'Chunk ID: ' || item_id || ':0' || chr(10) || 'Title: Unknown' || chr(10) || 'Publisher: '
+        || coalesce(nullif(organization, ''), 'Unknown') || chr(10) || 'Author: Unknown' || chr(10) || 'URL: Unknown' || chr(10) ||
+        'Published At: Unknown' || chr(10) || 'Section: Unknown' || chr(10) || chr(10) || 'CONTENT:' || chr(10) || coalesce(text, ''), chr(10)
+        || chr(10) ORDER BY source_number) AS c FROM {_EV} e JOIN claim_queries q USING (query_id) GROUP BY e.query_id)""",
     "resolved_citations": f"SELECT query_id, source_number, (CASE WHEN source_number = query_id % 3 + 1 THEN 0 ELSE 1 END)::INTEGER AS citation_position, item_id || ':0' AS chunk_id FROM {_EV} WHERE source_number IN (2, query_id % 3 + 1)",
 }

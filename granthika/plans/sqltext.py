@@ -30,6 +30,7 @@ def spans(cut: str, behind: str, before: str = "") -> str:
     """Trimmed pieces of each document between cuts, with their offsets: a piece starts where the ones before it end."""
     piece = rf"string_split(regexp_replace(text, '{cut}', '{before}' || chr(1) || '{behind}', 'g'), chr(1))"
     return rf"""WITH p AS (SELECT doc_id, unnest({piece}) AS x, generate_subscripts({piece}, 1) AS i FROM documents WHERE text IS NOT NULL),
-        o AS (SELECT doc_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p),
+        o AS (SELECT doc_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+        AND 1 PRECEDING), 0) AS base FROM p),
         s AS (SELECT doc_id, i, {strip('x')} AS t, (base + length(x) - length(regexp_replace(x, '^{SPACE}+', '')))::BIGINT AS char_start FROM o)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS span_no, char_start, char_start + length(t) AS char_end, {words('t')} AS n_words FROM s WHERE t <> ''"""

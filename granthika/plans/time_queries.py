@@ -30,8 +30,10 @@ def date_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.lit("webscraper_output").alias("table_name"), F.col("record_no").alias("row_no"),
             F.explode(F.array(
-                F.struct(F.lit("dates.published_at").alias("field_name"), F.col("pub").alias("raw"), F.coalesce("site_zone", F.lit(HOME_ZONE)).alias("zone"), F.coalesce("site_order", F.lit(HOME_ORDER)).alias("date_order")),
-                F.struct(F.lit("dates.retrieved_at").alias("field_name"), F.col("got").alias("raw"), F.lit("UTC").alias("zone"), F.lit(HOME_ORDER).alias("date_order")),
+                F.struct(F.lit("dates.published_at").alias("field_name"), F.col("pub").alias("raw"),
+                    F.coalesce("site_zone", F.lit(HOME_ZONE)).alias("zone"), F.coalesce("site_order", F.lit(HOME_ORDER)).alias("date_order")),
+                F.struct(F.lit("dates.retrieved_at").alias("field_name"), F.col("got").alias("raw"), F.lit("UTC").alias("zone"),
+                    F.lit(HOME_ORDER).alias("date_order")),
             )).alias("v"),
         )
         .select("table_name", "row_no", "v.*")
@@ -66,7 +68,8 @@ def p2_undecidable_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         p2_instants(spark, sf_dir)
         .groupBy("table_name", "field_name")
-        .agg(F.count("*").alias("n_values"), F.count("instant_utc").alias("n_instants"), F.min("instant_utc").alias("first_instant"), F.max("instant_utc").alias("last_instant"))
+        .agg(F.count("*").alias("n_values"), F.count("instant_utc").alias("n_instants"), F.min("instant_utc").alias("first_instant"),
+            F.max("instant_utc").alias("last_instant"))
     )
 
 
