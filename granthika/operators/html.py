@@ -12,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +77,25 @@ class _Texts(HTMLParser):
 def texts_in_place(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, pos, text and path of each text of each page, the outermost element first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, page in zip(pdf[key], pdf[html]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, texts, paths = [], [], []
+            for i, page in enumerate(batch.column(1).to_pylist()):
                 parser = _Texts()
                 parser.feed(page)
                 parser.close()
-                rows += [(k, i, text, [{"no": n, "tag": t, "marks": m, "nth": nth} for n, t, m, nth in path]) for i, (text, path) in enumerate(parser.found)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "text", "path"])
+                owner += [i] * len(parser.found)
+                texts += [t for t, _ in parser.found]
+                paths += [p for _, p in parser.found]
+            first = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if owner else np.zeros(0, int)
+            place = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+            no, tag, marks, nth = zip(*(n for p in paths for n in p)) if any(paths) else ((),) * 4
+            nodes = pa.StructArray.from_arrays([pa.array(no, pa.int32()), pa.array(tag, pa.string()), pa.array(marks, pa.string()), pa.array(nth, pa.int32())], ["no", "tag", "marks", "nth"])
+            path = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in paths])), pa.int32()), nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(texts, pa.string()), path], [key, "pos", "text", "path"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.where(F.col(key).isNotNull() & F.col(html).isNotNull()).select(key, html).mapInPandas(run, f"{key} {kind}, pos int, text string, path {PATH}")
+    return pages.where(F.col(key).isNotNull() & F.col(html).isNotNull()).select(key, html).mapInArrow(run, f"{key} {kind}, pos int, text string, path {PATH}")
 
 
 def is_chrome(node: Column) -> Column:
@@ -156,15 +165,15 @@ def parse_blocks(pages: DataFrame, key: str, html: str = "html", markers: tuple[
 
 
 def _cleaned(texts: DataFrame, key: str) -> DataFrame:
-    cleaned = computed_once(blocks_of(texts, key).withColumn("text", clean_block(F.col("text")))).where((F.col("text") != "") & ~is_page_metadata(F.col("text")))
-    return first_texts(cleaned, [key], F.lower(one_spaced(F.col("text"))), ["pos"])
+    cleaned = computed_once(blocks_of(texts, key).withColumn("text", clean_block(F.col("text")))).where("text <> ''")
+    told = computed_once(cleaned.withColumn("_low", F.lower(one_spaced(F.col("text"))))).where(~is_page_metadata(F.col("_low")))
+    return first_texts(told, [key], F.col("_low"), ["pos"]).drop("_low")
 
 
-def is_page_metadata(text: Column) -> Column:
-    """Lines that name the release or its publisher, and say nothing else."""
-    low = F.lower(one_spaced(text))
-    return low.rlike(r"^release\s+id\s*:\s*\d+$") | low.rlike(r"^posted\s+on\s*:\s*.+\s+by\s+pib$") | low.isin("government of india",
-        "press information bureau", "press information bureau government of india")
+def is_page_metadata(low: Column) -> Column:
+    """Lines, in lower case with single spaces, that name the release or its publisher, and say nothing else."""
+    named = low.isin("government of india", "press information bureau", "press information bureau government of india")
+    return named | low.rlike(r"^release\s+id\s*:\s*\d+$|^posted\s+on\s*:\s*.+\s+by\s+pib$")
 
 
 def titles(blocks: DataFrame, key: str) -> DataFrame:

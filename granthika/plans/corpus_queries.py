@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import dates, ids, text, urls
 from granthika.operators import analytics, chunking, html, sections
-from granthika.operators.dedup import first_texts, last_by
+from granthika.operators.dedup import first_texts
 from granthika.operators.documents import SECTION_SEPARATOR, parse_object
 from granthika.plans import sqltext as q
 from granthika.schemas import CONTENT_JSON
@@ -201,11 +201,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(F.lit("<html><body><nav><a href='/'>Home</a></nav><div class='content'>"), *head, F.array_join(body, ""),
         F.lit("</div><footer>All rights reserved</footer></body></html>"))
     own = ("id", "document_id", "release_id", "title", "url", "organization", "published_at")
-    parsed = spread(table(spark, sf_dir, "pib_releases").select(*own, "content_json")).select(*own,
-        parse_object(F.col("content_json"), CONTENT_JSON)["sections"].alias("s"))
-    rows = computed_once(parsed.where("s is not null and document_id is not null")).select("id", F.col("document_id").alias("page_id"), "release_id",
-        "title", "url", "published_at", page.alias("html"))
-    return last_by(rows, ["page_id"], ["id"]).drop("id")
+    parsed = spread(table(spark, sf_dir, "pib_releases").select(*own, "content_json")).select(*own, parse_object(F.col("content_json"), CONTENT_JSON)["sections"].alias("s"))
+    rows = computed_once(parsed.where("s is not null and document_id is not null"))
+    latest = rows.groupBy("document_id").agg(F.max("id").alias("id")).select("id")
+    return rows.join(latest, "id", "left_semi").select(F.col("document_id").alias("page_id"), "release_id", "title", "url", "published_at", page.alias("html"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
