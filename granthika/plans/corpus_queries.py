@@ -51,7 +51,12 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).where(analytics.has_repeated_paragraphs(F.col("text"))).select("doc_id")
+    """Paragraphs of every document, and whether one of them occurs twice; of the documents' lines as well, which do repeat."""
+    parts = lambda sep: F.filter(F.split("text", sep, -1), lambda x: x != "")
+    repeated = analytics.has_repeated_paragraphs(F.col("text"))
+    lines = analytics.has_repeated_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    found = _documents(spark, sf_dir).where("text is not null")
+    return found.select("doc_id", F.size(parts("\n\n")).cast("long").alias("n_paragraphs"), repeated.alias("repeated"), lines.alias("lines_repeated"))
 
 
 def table_like_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +265,13 @@ _PAGE = """SELECT document_id, list_concat([organization, title, 'Posted On: ' |
     FROM pib_releases WHERE json_valid(content_json) AND document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY id DESC) = 1"""
 _LOW = f"lower({q.one_spaced('t')})"
 
+# The given posts hold no HTML entities, so this leaves them out.
+_POST = r"""regexp_replace(regexp_replace(replace(replace(replace(t, '\r\n', chr(10)), '\n', chr(10)), '\t', ' '), '\r\n?', chr(10), 'g'), '\t', ' ', 'g')"""
+_POST = rf"regexp_replace(regexp_replace(regexp_replace({_POST}, '([?!])([A-Za-z0-9])', '\1 \2', 'g'), '[ \f\x0B]+', ' ', 'g'), '[\t\f\v\r \p{{Z}}]*\n[\t\f\v\r \p{{Z}}]*', chr(10), 'g')"
+_POST = q.strip(rf"regexp_replace({_POST}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
 ORACLE = {
+    "clean_social_text": f"SELECT record_no, {_POST} AS clean_text FROM (SELECT record_no, w.content.raw_text AS t FROM webscraper_output w WHERE w.source.platform = 'X')",
     "html_blocks": rf"""WITH p AS ({_PAGE}), b AS (SELECT document_id, {q.clean_block('x')} AS t, i
         FROM (SELECT document_id, unnest(texts) AS x, generate_subscripts(texts, 1) AS i FROM p)),
         k AS (SELECT * FROM b WHERE t <> '' AND NOT regexp_matches({_LOW}, '^release\s+id\s*:\s*\d+$|^posted\s+on\s*:\s*.+\s+by\s+pib$')
@@ -272,7 +283,8 @@ ORACLE = {
     "top_largest": f"SELECT doc_id, character_count, word_count FROM {_M} ORDER BY character_count DESC, doc_id LIMIT 10",
     "short_documents": f"SELECT doc_id, word_count FROM {_M} WHERE word_count < 50",
     "exact_duplicate_groups": f"SELECT doc_id, class_id, n_copies, text_hash FROM {_DUP} WHERE n_copies > 1",
-    "repeated_paragraphs": f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {_REPEATED}",
+    "repeated_paragraphs": f"""SELECT doc_id, len(list_filter(string_split(text, chr(10)||chr(10)), lambda x: x <> ''))::BIGINT AS n_paragraphs, {_REPEATED} AS repeated,
+        {_REPEATED.replace("chr(10)||chr(10)", "chr(10)")} AS lines_repeated FROM documents WHERE text IS NOT NULL""",
     "table_like_text": f"SELECT doc_id FROM documents WHERE {_TABLE}",
     "replacement_characters": """SELECT field, sum(length(t) - length(replace(t, chr(65533), '')))::BIGINT AS n_characters, count(*) FILTER (contains(t, chr(65533))) AS n_rows
         FROM (SELECT 'documents.text' AS field, coalesce(text,'') AS t FROM documents UNION ALL SELECT 'pib_releases.title', coalesce(title,'')
