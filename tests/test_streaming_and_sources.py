@@ -74,3 +74,13 @@ def test_stored_tables_and_scratch(spark, tmp_path):
     assert before != session.fingerprint(spark.read.parquet(f"{tmp_path}/a"), "x")
     kept = session.materialise(spark.range(2), "gone")
     assert kept.count() == 2 and session.clear_scratch() > 0 and session.read_if_there(spark, kept.inputFiles()[0].rpartition("/")[0]) is None
+
+
+def test_join_of_frequent_and_rare_keys(spark):
+    from granthika import session
+
+    rows = spark.createDataFrame([(i, "a" if i < 1500 else None if i < 1503 else f"k{i}") for i in range(1510)], "i int, key string")
+    found = rows.where("key is not null").groupBy("key").count().withColumnRenamed("count", "n")
+    inner, left = (session.join_counted(rows, found, "key", "n", how) for how in ("inner", "left"))
+    assert inner.count() == 1507 and left.count() == 1510 and inner.where("key = 'a' and n = 1500").count() == 1500
+    assert session.join_counted(rows.limit(0), found.limit(0), "key").count() == 0
